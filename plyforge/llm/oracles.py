@@ -1,5 +1,133 @@
 """SQL of the pN_ queries that SQL can express."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+_STAGE = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^.*checkpoints/([^/]+)(/.*)?$', '\\1'), '-[0-9]{{8}}-[0-9]{{6}}$', ''), '[_ ]+', '-', 'g')"
+
+_GAMES = f"""
+with raw as (
+  select match_id, game_index, {_STAGE.format("stage_a")} item_a, {_STAGE.format("stage_b")} item_b, a_white, score, recorded_at,
+         regexp_replace(replace(replace(lower(trim(result)), '–', '-'), '—', '-'), '\\s*([-:/])\\s*', '\\1', 'g') r
+  from match_games),
+seen as (
+  select *, case when r in ('1-0', '1:0', 'white wins', 'white') then 1.0
+                 when r in ('1/2-1/2', '1/2', '½-½', '½', '0.5-0.5', 'draw') then 0.5
+                 when r in ('0-1', '0:1', 'black wins', 'black') then 0.0 end white from raw),
+two as (
+  select *, case when white = 0.5 then 0.5 when a_white then white when not a_white then 1 - white end by_result,
+         case when score in (0, 0.5, 1) then score end stated from seen),
+good as (
+  select match_id, game_index, item_a, item_b, recorded_at,
+         case when r in ('*', 'unfinished', 'aborted') then null
+              when by_result is not null and stated is not null and by_result <> stated then null
+              else coalesce(by_result, stated) end score from two),
+games_once as (
+  select * from good where score is not null
+  qualify row_number() over (partition by match_id, game_index order by recorded_at desc, item_a desc, item_b desc, score desc) = 1)
+"""
+
+_KEY = """
+case when lower(trim(item_kind)) = 'puzzle' then nullif(regexp_replace(trim(item_key), '^(?:.*[/#])', ''), '')
+     when try_cast(regexp_extract(trim(item_key), '^([+-]?[0-9]{1,20})(?:[.]0*)?$', 1) as decimal(21, 0)) > 9223372036854775807
+     then cast(try_cast(regexp_extract(trim(item_key), '^([+-]?[0-9]{1,20})(?:[.]0*)?$', 1) as decimal(21, 0)) - 18446744073709551616 as varchar)
+     else cast(try_cast(regexp_extract(trim(item_key), '^([+-]?[0-9]{1,20})(?:[.]0*)?$', 1) as decimal(21, 0)) as varchar) end
+"""
+
+
+def _sample(table: str, key: str, num: int, den: int, salt: str) -> str:
+    return f"""
+    with first as (select {key}, min(batch_no) batch_no from {table} where {key} is not null group by 1),
+    ranked as (select *, row_number() over (partition by batch_no order by md5('{salt}:' || {key}), {key}) rk, count(*) over (partition by batch_no) n from first)
+    select {key}, batch_no from ranked where rk <= (n * {num} + {den} - 1) // {den}"""
+
+
+_SPLIT = "case when lower(trim(split)) in ('train', 'training', 'trn', 'tr') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation', 'dev') then 'val' when lower(trim(split)) in ('test', 'testing', 'tst', 'te') then 'test' end"
+
+_TORN = f"""
+with recursive ids as (
+  select game_id, nullif(regexp_extract(trim(site), '^(?:[hH][tT][tT][pP][sS]?://)?(?:[wW]{{3}}[.])?[a-zA-Z0-9.-]+[.][a-zA-Z]+/(?:[gG][aA][mM][eE]/)?([0-9A-Za-z]{{8}})(?:[^0-9A-Za-z]|$)', 1), '') code,
+         lower(regexp_replace(trim(white_name), '\\s+', ' ', 'g')) w, lower(regexp_replace(trim(black_name), '\\s+', ' ', 'g')) b,
+         utc_date d, regexp_replace(trim(uci), '\\s+', ' ', 'g') m from games),
+edges as (
+  select distinct x.game_id a, y.game_id b from ids x join ids y on x.code = y.code and x.game_id <> y.game_id
+  union select distinct x.game_id, y.game_id from ids x join ids y on x.w = y.w and x.b = y.b and x.d = y.d and x.m = y.m and x.game_id <> y.game_id and (x.code is null or y.code is null)),
+reach(a, b) as (
+  select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+recs as (
+  select distinct game_id, {_SPLIT} s from (select game_id, split from label_rows union all select game_id, split from puzzles) where game_id is not null and {_SPLIT} is not null),
+roots as (select game_id, s, coalesce((select min(b) from reach where a = game_id), game_id) root from recs),
+torn as (select root from roots group by root having count(distinct s) > 1)
+select distinct game_id from roots where root in (select root from torn)
+"""
+
+_BOARD = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '8', '........', 'g'), '7', '.......', 'g'), '6', '......', 'g'), '5', '.....', 'g'), '4', '....', 'g'), '3', '...', 'g'), '2', '..', 'g'), '1', '.', 'g'), '/', '')"
+
+_SURVIVORS = f"""
+with f as (
+  select *, string_split(regexp_replace(trim(fen), '\\s+', ' ', 'g'), ' ') p,
+         case when trim(line) <> '' then replace(regexp_replace(lower(trim(line)), '\\s+', ' ', 'g'), '=', '') end l from engine_lines),
+g as (
+  select *, p[1] place, lower(p[2]) turn, lower(coalesce(p[4], '-')) ep,
+         coalesce(nullif(concat(case when contains(p[3], 'K') then 'K' else '' end, case when contains(p[3], 'Q') then 'Q' else '' end, case when contains(p[3], 'k') then 'k' else '' end, case when contains(p[3], 'q') then 'q' else '' end), ''), '-') rights,
+         coalesce(nullif(regexp_replace(lower(trim(move)), '[=\\s-]', '', 'g'), ''), split_part(l, ' ', 1)) mv, {_BOARD.format("p[1]")} board from f),
+h as (
+  select *, ascii(ep) - 97 x from g),
+k as (
+  -- the rank a capturing pawn stands on: the fifth for White (row 4 of the text), the fourth for Black (row 5)
+  select *, case when ep similar to '[a-h][36]' and
+      ((turn = 'w' and ((x > 0 and substr(board, 24 + x, 1) = 'P') or (x < 7 and substr(board, 24 + x + 2, 1) = 'P'))) or
+       (turn = 'b' and ((x > 0 and substr(board, 32 + x, 1) = 'p') or (x < 7 and substr(board, 32 + x + 2, 1) = 'p')))) then ep else '-' end square from h),
+r as (
+  select line_id, depth, count(*) over (partition by place, turn, rights, square, mv) n,
+         (cp is not null or mate is not null) and depth between 1 and 245 able,
+         row_number() over (partition by place, turn, rights, square, mv order by
+           coalesce((cp is not null or mate is not null) and depth between 1 and 245, false) desc, depth desc nulls last, knodes desc nulls last, fetched_at desc nulls last, line_id) rk
+  from k where mv is not null and mv <> '')
+select line_id from r where n > 1 and able and rk = 1
+"""
+
+_PHASE = "case when t in ('opening', 'openings', 'op') then 'opening' when t in ('middlegame', 'middle', 'mid', 'mg') then 'middlegame' when t in ('endgame', 'ending', 'end', 'eg') then 'endgame' end"
+
+_TARGETS = f"""
+with phases as (select distinct game_id, ply, {_PHASE} category from (select game_id, ply, regexp_replace(lower(phase), '[\\s_-]+', '', 'g') t from label_rows where game_id is not null and ply is not null)),
+bands as (
+  select distinct puzzle_id, case when regexp_matches(t, '^[0-9]+(-|–|—|_|to)[0-9]+$') then regexp_replace(t, '^([0-9]+)(-|–|—|_|to)([0-9]+)$', '\\1-\\3')
+    when regexp_matches(t, '^[0-9]+([+]|plus)$') then regexp_extract(t, '^[0-9]+') || '+' when regexp_matches(t, '^(≥|>=)[0-9]+$') then regexp_extract(t, '[0-9]+$') || '+' end category
+  from (select puzzle_id, regexp_replace(lower(band), '\\s+', '', 'g') t from puzzles where puzzle_id is not null)),
+have as (select 'label_rows' base_table, category, count(*) n from phases where category is not null group by 2 union all select 'puzzles', category, count(*) from bands where category is not null group by 2)
+select sample_name, category, greatest(min_records, cast(ceil(round(target_share * sample_size, 6)) as bigint)) needed, coalesce(n, 0) available,
+       greatest(0, greatest(min_records, cast(ceil(round(target_share * sample_size, 6)) as bigint)) - coalesce(n, 0)) shortfall
+from sample_targets left join have using (base_table, category)
+"""
+
+_MIX = """
+with docs as (select doc_id, regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') source, length(text) tokens from documents where length(text) > 0),
+summed as (select *, sum(tokens) over (partition by source order by md5('mix1:' || doc_id), doc_id rows unbounded preceding) upto, sum(tokens) over (partition by source) total from docs),
+queue as (
+  select mix_name, s.source, doc_id, pass, tokens, cast((pass - 1) * total + upto as double) / weight finish, budget_tokens
+  from summed s join mix_targets t on s.source = t.source, lateral (select unnest(range(1, max_repeats + 1)) pass)),
+taken as (select *, sum(tokens) over (partition by mix_name order by finish, source, pass, doc_id rows unbounded preceding) run from queue)
+select mix_name, row_number() over (partition by mix_name order by finish, source, pass, doc_id) as position, source, doc_id, pass, tokens from taken where run <= budget_tokens
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_win_matrix": _GAMES + """select winner, loser, sum(w) wins from (
+            select item_a winner, item_b loser, cast(score as double) w from games_once where item_a <> item_b
+            union all select item_b, item_a, 1 - cast(score as double) from games_once where item_a <> item_b) group by all""",
+        "p2_found": f"""
+            with rows as (select distinct sample_name, draw_no, lower(trim(item_kind)) kind, {_KEY} k from sample_draws),
+            live as (select 'game' kind, cast(game_id as varchar) k from games union select 'puzzle', trim(puzzle_id) from puzzles)
+            select r.sample_name, r.draw_no + 1 draw_no, r.k item_key from rows r
+            where r.k is not null and exists (select 1 from rows m where m.sample_name = r.sample_name and m.draw_no = r.draw_no + 1)
+              and not exists (select 1 from rows m where m.sample_name = r.sample_name and m.draw_no = r.draw_no + 1 and m.kind = r.kind and m.k = r.k)
+              and exists (select 1 from live l where l.kind = r.kind and l.k = r.k)""",
+        "p2_games_sample": _sample("games", "game_id", 1, 10, "games"),
+        "p2_puzzles_sample": _sample("puzzles", "puzzle_id", 1, 4, "puzzles"),
+        "p3_found": _TORN,
+        "p4_found": _SURVIVORS,
+        "p5_target_report": _TARGETS,
+        "p5_found": f"select sample_name, category from ({_TARGETS}) where shortfall > 0",
+        "p7_mix_by_characters": _MIX,
+    }
