@@ -71,7 +71,8 @@ g as (
          coalesce(nullif(concat(case when contains(p[3], 'K') then 'K' else '' end, case when contains(p[3], 'Q') then 'Q' else '' end, case when contains(p[3], 'k') then 'k' else '' end, case when contains(p[3], 'q') then 'q' else '' end), ''), '-') rights,
          coalesce(nullif(regexp_replace(lower(trim(move)), '[=\\s-]', '', 'g'), ''), split_part(l, ' ', 1)) mv, {_BOARD.format("p[1]")} board from f),
 h as (
-  select *, ascii(ep) - 97 x from g),
+  select * replace (case when turn = 'w' and mv = 'e1h1' and contains(rights, 'K') then 'e1g1' when turn = 'w' and mv = 'e1a1' and contains(rights, 'Q') then 'e1c1'
+                         when turn = 'b' and mv = 'e8h8' and contains(rights, 'k') then 'e8g8' when turn = 'b' and mv = 'e8a8' and contains(rights, 'q') then 'e8c8' else mv end as mv), ascii(ep) - 97 x from g),
 k as (
   -- the rank a capturing pawn stands on: the fifth for White (row 4 of the text), the fourth for Black (row 5)
   select *, case when ep similar to '[a-h][36]' and
