@@ -28,7 +28,7 @@ RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 #: A source's missing terminators count if at least so many of its unbroken texts have one.
 BASELINE = 0.5
 #: An ending in dots is a phrase of its own if this part of all such endings, and two texts, have it.
-PHRASE_SHARE = 0.02
+PHRASE_SHARE = 0.04
 
 _STRUCTURE = re.compile(r'[()\[\]{}"�]')
 _PAIRS = {")": "(", "]": "[", "}": "{"}
