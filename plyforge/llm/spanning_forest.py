@@ -31,6 +31,14 @@ def star_edges(df: DataFrame, id_col: str, key: str, centre: Column | None = Non
     return salted_lookup(ids.select("__key", "v").distinct(), middle, ["__key"], how="inner", spread="v").filter("u <> v").select("u", "v").distinct()
 
 
+#: Up to so many vertices, rows of one key are too few to need salting.
+FEW_VERTICES = 500_000
+
+
+def _lookup(few: bool, rows: DataFrame, table: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    return rows.join(table, keys, "left") if few else salted_lookup(rows, table, keys, spread=spread)
+
+
 def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(forest, roots) of an undirected graph given by its edges (u, v).
 
@@ -47,6 +55,7 @@ def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFram
     member = live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("root", F.col("id"))
     forest = spark.createDataFrame([], f"u {kind}, v {kind}, round int")
     number = 0
+    few = member.count() <= FEW_VERTICES
     # a, b: the components of u, v
     while not live.isEmpty():
         number += 1
@@ -60,20 +69,20 @@ def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFram
         mutual = parent.alias("p").join(parent.select(F.col("id").alias("up"), F.col("up").alias("back")), "up", "left")
         parent = cut_lineage(mutual.select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up")))
         while True:  # pointer doubling: chains halve each time
-            grand = salted_lookup(parent, parent.select(F.col("id").alias("up"), F.col("up").alias("top")), ["up"], spread="id")
+            grand = _lookup(few, parent, parent.select(F.col("id").alias("up"), F.col("up").alias("top")), ["up"], spread="id")
             doubled = cut_lineage(grand.select("id", F.coalesce("top", "up").alias("new"), "up"))
             moved = not doubled.filter("new <> up").isEmpty()
             parent = doubled.select("id", F.col("new").alias("up"))
             if not moved:
                 break
         step = parent.select(F.col("id").alias("root"), F.col("up").alias("to"))
-        member = cut_lineage(salted_lookup(member, step, ["root"], spread="id").select("id", F.coalesce("to", "root").alias("root")))
-        at_a = salted_lookup(live, parent.select(F.col("id").alias("a"), F.col("up").alias("to")), ["a"], spread="v").select("u", "v", F.coalesce("to", "a").alias("a"), "b")
-        at_b = salted_lookup(at_a, parent.select(F.col("id").alias("b"), F.col("up").alias("to")), ["b"], spread="u").select("u", "v", "a", F.coalesce("to", "b").alias("b"))
+        member = cut_lineage(_lookup(few, member, step, ["root"], spread="id").select("id", F.coalesce("to", "root").alias("root")))
+        at_a = _lookup(few, live, parent.select(F.col("id").alias("a"), F.col("up").alias("to")), ["a"], spread="v").select("u", "v", F.coalesce("to", "a").alias("a"), "b")
+        at_b = _lookup(few, at_a, parent.select(F.col("id").alias("b"), F.col("up").alias("to")), ["b"], spread="u").select("u", "v", "a", F.coalesce("to", "b").alias("b"))
         # parallel edges of two components: only the smallest can ever be picked
         live = cut_lineage(at_b.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v", "a", "b"))
     smallest = member.groupBy("root").agg(F.min("id").alias("least"))
-    named = salted_lookup(member, smallest, ["root"], spread="id").select("id", F.col("least").alias("root"))
+    named = _lookup(few, member, smallest, ["root"], spread="id").select("id", F.col("least").alias("root"))
     return cut_lineage(forest), cut_lineage(named)
 
 
