@@ -10,6 +10,16 @@ from pyspark.sql import types as T
 from plyforge.chess import games as G
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for work that costs far more than moving its rows.
+
+    Small files come as few partitions; a table that already has at least one a
+    core is left as it is, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def _scalar(function, kind: T.DataType, *columns: Column) -> Column:
     @F.pandas_udf(kind)
     def run(*series: pd.Series) -> pd.Series:
@@ -66,7 +76,7 @@ def convert_games(raw: DataFrame, *, text: str = "movetext", result: str = "Resu
             yield df.assign(reason=[r[0] for r in rows], uci=[r[1] for r in rows], n_plies=pd.array([r[2] for r in rows], dtype="Int16"))
 
     schema = T.StructType([*raw.schema.fields, T.StructField("reason", T.StringType()), T.StructField("uci", T.StringType()), T.StructField("n_plies", T.ShortType())])
-    return raw.mapInPandas(run, schema)
+    return spread(raw).mapInPandas(run, schema)
 
 
 def walk_positions(games: DataFrame) -> DataFrame:
@@ -77,7 +87,7 @@ def walk_positions(games: DataFrame) -> DataFrame:
             out = [(g, ply, fen, move, phase, r) for g, u, r in df[["game_id", "uci", "result"]].itertuples(index=False) for ply, fen, move, phase in G.walk(u)]
             yield pd.DataFrame(out, columns=["game_id", "ply", "fen4", "last_move", "phase", "result"])
 
-    return games.select("game_id", "uci", "result").mapInPandas(run, "game_id bigint, ply smallint, fen4 string, last_move string, phase string, result string")
+    return spread(games.select("game_id", "uci", "result")).mapInPandas(run, "game_id bigint, ply smallint, fen4 string, last_move string, phase string, result string")
 
 
 def distinct_positions(walked: DataFrame, limit: int | None = None) -> DataFrame:

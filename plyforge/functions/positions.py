@@ -69,11 +69,11 @@ def position_tokens(fen: Column) -> Column:
 
     Null where the text is no FEN of four fields or more.
     """
-    at = lambda names: F.array(*[F.lit(n) for n in names])
     part = lambda i: F.split_part(fen, F.lit(" "), F.lit(i))
     board = expanded(part(1))
-    squares = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(board, (7 - i % 8) * 8 + F.floor(i / 8).cast("int") + 1, F.lit(1)))
-    ids = F.transform(squares, lambda c: F.when(c == ".", 3).otherwise(F.array_position(at(PIECES), c).cast("int") + 3))
+    # the board is bound as a lambda variable, so it is expanded once and not for every square
+    at_square = lambda b, i: F.substring(b, (7 - i % 8) * 8 + F.floor(i / 8).cast("int") + 1, F.lit(1))
+    ids = F.get(F.transform(F.array(board), lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.instr(F.lit("." + PIECES), at_square(b, i)) + 2)), F.lit(0))
     first = SQUARE_VOCAB.index
     mask = sum((F.when(part(3).contains(c), 1 << i).otherwise(0) for i, c in enumerate("KQkq")), F.lit(0))
     ep = F.when(part(4) == "-", 0).otherwise(F.ascii(part(4)) - 96)

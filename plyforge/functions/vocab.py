@@ -46,20 +46,39 @@ def elo_token(elo: Column, side: str) -> Column:
     return F.concat(F.lit(f"<{side}"), F.lpad(elo_bin(elo).cast("string"), 4, "0"), F.lit(">"))
 
 
-def _lookup() -> Column:
-    return F.create_map(*[x for i, t in enumerate(vocabulary()) for x in (F.lit(t), F.lit(i))])
+#: Ids of the first rating tokens, of the first plain move and of the first promotion.
+FIRST_WHITE, FIRST_BLACK, FIRST_MOVE, FIRST_PROMOTION = 8, 35, 62, 1854
+
+
+def move_id(move: Column) -> Column:
+    """Vocabulary id of a move, null for a text that is none.
+
+    The first square picks one of 64 short constant lists, in which the second is
+    looked for; promotions have a list of their own.  No lookup runs over the
+    whole vocabulary.
+    """
+    squares = [(f, r) for f in range(8) for r in range(8)]
+    targets = [[f"{FILES[c]}{d + 1}" for c, d in squares if reaches(c - a, d - b)] for a, b in squares]
+    starts = [sum(map(len, targets[:i])) for i in range(64)]
+    lists, bases = F.array(*[F.array(*map(F.lit, t)) for t in targets]), F.array(*map(F.lit, starts))
+    rank = F.ascii(F.substring(move, 2, 1)) - 49
+    index = (F.ascii(F.substring(move, 1, 1)) - 97) * 8 + rank
+    good = move.rlike("^[a-h][1-8][a-h][1-8]$")
+    place = F.array_position(F.get(lists, F.when(good, index)), F.substring(move, 3, 2))
+    plain = F.when(good & (place > 0), F.get(bases, F.when(good, index)) + place + (FIRST_MOVE - 1))
+    promotions = F.array(*map(F.lit, move_tokens()[FIRST_PROMOTION - FIRST_MOVE :]))
+    promoted = F.array_position(promotions, move)
+    return F.when(F.length(move) == 5, F.when(promoted > 0, promoted + (FIRST_PROMOTION - 1))).otherwise(plain).cast("int")
 
 
 def encode_games(games: DataFrame, *, max_len: int = 200, vocab: DataFrame | None = None) -> DataFrame:
     """Adds ``ids``: bos, both ratings, the moves, the result, eos, cut at ``max_len``.
 
     Unknown moves become unk; rows without ratings or a known result have null ids.
-    The vocabulary is one constant map of 2,030 entries in the expression.
     """
-    table = _lookup()
-    moves = F.transform(F.filter(F.split("uci", " "), lambda m: m != ""), lambda m: F.coalesce(F.try_element_at(table, m), F.lit(4)))
+    moves = F.transform(F.filter(F.split("uci", " "), lambda m: m != ""), lambda m: F.coalesce(move_id(m), F.lit(4)))
     result = F.when(F.col("result") == "1-0", 5).when(F.col("result") == "0-1", 6).when(F.col("result") == "1/2-1/2", 7)
-    head = F.array(F.lit(1), F.try_element_at(table, elo_token(F.col("white_elo"), "w")), F.try_element_at(table, elo_token(F.col("black_elo"), "b")))
+    head = F.array(F.lit(1), ((elo_bin(F.col("white_elo")) - ELO_MIN) / ELO_STEP).cast("int") + FIRST_WHITE, ((elo_bin(F.col("black_elo")) - ELO_MIN) / ELO_STEP).cast("int") + FIRST_BLACK)
     good = F.col("white_elo").isNotNull() & F.col("black_elo").isNotNull() & result.isNotNull() & F.col("uci").isNotNull()
     return games.withColumn("ids", F.when(good, F.slice(F.concat(head, moves, F.array(result, F.lit(2))), 1, max_len)))
 

@@ -15,7 +15,7 @@ from plyforge.plans.sampling import table
 """)
 def san_round_trip(spark, d):
     """Every game written as SAN and read back: replays, disambiguates and parses whole games."""
-    games = table(spark, d, "games").filter("uci is not null").select("game_id", "batch_no", frames.numbered_san(F.col("uci")).alias("movetext"), F.lit("1-0").alias("Result"))
+    games = frames.spread(table(spark, d, "games").filter("uci is not null").select("game_id", "batch_no", "uci")).select("game_id", "batch_no", frames.numbered_san(F.col("uci")).alias("movetext"), F.lit("1-0").alias("Result"))
     back = frames.convert_games(games, least=0, most=10_000)
     return back.filter("reason = 'kept'").select("game_id", "batch_no", F.col("n_plies").cast("bigint").alias("plies"), F.col("uci").alias("back"))
 
@@ -53,7 +53,7 @@ def walked_phases(spark, d):
 @register()
 def legal_moves(spark, d):
     """Whether each plainly written first move is legal in its position; here all are but castlings written as king takes rook."""
-    rows = table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$"))
+    rows = frames.spread(table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$")).select("line_id", "fen", "move"))
     return rows.select("line_id", frames.is_legal(F.col("fen"), F.col("move")).alias("legal"))
 
 
@@ -79,7 +79,7 @@ def rebuild_prefix(spark, d):
 @register()
 def blunder_heuristic(spark, d):
     """Share of moves that the one-reply material rule calls blunders, by recorded label."""
-    rows = table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$"))
+    rows = frames.spread(table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$")).select("line_id", "fen", "move"))
     judged = rows.select("line_id", frames.blunder_verdict(F.col("fen"), F.col("move")).alias("blunder"))
     return judged.groupBy("blunder").agg(F.count(F.lit(1)).alias("n"))
 
