@@ -60,13 +60,15 @@ def move_id(move: Column) -> Column:
     squares = [(f, r) for f in range(8) for r in range(8)]
     targets = [[f"{FILES[c]}{d + 1}" for c, d in squares if reaches(c - a, d - b)] for a, b in squares]
     starts = [sum(map(len, targets[:i])) for i in range(64)]
-    lists, bases = F.array(*[F.array(*map(F.lit, t)) for t in targets]), F.array(*map(F.lit, starts))
+    constant = lambda names: "array(" + ",".join(f"'{n}'" for n in names) + ")"
+    # one parsed expression: thousands of calls for single literals would take seconds
+    lists, bases = F.expr("array(" + ",".join(map(constant, targets)) + ")"), F.expr(f"array({','.join(map(str, starts))})")
     rank = F.ascii(F.substring(move, 2, 1)) - 49
-    index = (F.ascii(F.substring(move, 1, 1)) - 97) * 8 + rank
-    good = move.rlike("^[a-h][1-8][a-h][1-8]$")
-    place = F.array_position(F.get(lists, F.when(good, index)), F.substring(move, 3, 2))
-    plain = F.when(good & (place > 0), F.get(bases, F.when(good, index)) + place + (FIRST_MOVE - 1))
-    promotions = F.array(*map(F.lit, move_tokens()[FIRST_PROMOTION - FIRST_MOVE :]))
+    # outside of 0..63 there is no list, so no place
+    index = F.when(rank.between(0, 7), (F.ascii(F.substring(move, 1, 1)) - 97) * 8 + rank)
+    place = F.array_position(F.get(lists, index), F.substring(move, 3, 2))
+    plain = F.when((F.length(move) == 4) & (place > 0), F.get(bases, index) + place + (FIRST_MOVE - 1))
+    promotions = F.expr(constant(move_tokens()[FIRST_PROMOTION - FIRST_MOVE :]))
     promoted = F.array_position(promotions, move)
     return F.when(F.length(move) == 5, F.when(promoted > 0, promoted + (FIRST_PROMOTION - 1))).otherwise(plain).cast("int")
 

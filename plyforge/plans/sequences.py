@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.chess.frames import spread
 from plyforge.functions import ids, positions, text, vocab
 from plyforge.operators.ordering import salted_hash
 from plyforge.plans.catalogue import register
@@ -57,7 +58,7 @@ def vocab_crossjoin(spark, d):
 """)
 def encode_sequences(spark, d):
     """Token counts of encoded games; the ids are tested against a plain encoder."""
-    rows = vocab.encode_games(table(spark, d, "games")).filter("ids is not null")
+    rows = vocab.encode_games(spread(table(spark, d, "games").select("game_id", "batch_no", "uci", "white_elo", "black_elo", "result"))).filter("ids is not null")
     return rows.select("game_id", "batch_no", F.size("ids").cast("bigint").alias("n_ids"), F.lit(62).cast("bigint").alias("first_move"), vocab.elo_bin(F.col("white_elo")).alias("white_bin"))
 
 
@@ -78,7 +79,7 @@ _EXPAND = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
     from (select label_id, fen, {_EXPAND} b, split_part(fen, ' ', 3) c, split_part(fen, ' ', 4) e from label_rows where fen is not null)
 """)
 def fen_squares(spark, d):
-    rows = table(spark, d, "label_rows").filter("fen is not null")
+    rows = spread(table(spark, d, "label_rows").select("label_id", "fen").filter("fen is not null"))
     return rows.select("label_id", F.array_join(F.transform(positions.position_tokens(F.col("fen")), lambda x: x.cast("string")), " ").alias("tokens"))
 
 
