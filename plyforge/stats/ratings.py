@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOG = np.log(10) / 400
 #: How far beyond the opponents a fit or a bound may go, and its largest step.
@@ -87,7 +88,7 @@ def estimate(games: DataFrame, by: str | None = None, samples: int = 500, seed:
 def match_summary(games: DataFrame, by: Sequence[str], samples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Wins, draws, losses, score, rating difference with a bootstrap interval, separated flag, of each match."""
     rows = games.dropna(subset=["score"]).groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.count_if(F.col("score") == 1).alias("wins"), F.count_if(F.col("score") == 0.5).alias("draws"), F.count_if(F.col("score") == 0).alias("losses"), F.avg("score").alias("score"))
-    schema = rows.schema.add("elo", "double").add("ci_low", "double").add("ci_high", "double").add("separated", "boolean")
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("elo", "ci_low", "ci_high")], T.StructField("separated", T.BooleanType())])
 
     def diff(p):
         p = np.asarray(p, float)
