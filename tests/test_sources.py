@@ -155,3 +155,8 @@ def test_event_windows_as_a_stream_equal_the_batch(spark, small, tmp_path):
     got = spark.table("windows")
     assert got.count() == batch.count() > 0 and got.agg(F.sum("n")).first()[0] == batch.agg(F.sum("n")).first()[0]
     assert ingest.sessions(events).agg(F.sum("n")).first()[0] == events.filter("user_id is not null and ts is not null").count()
+
+
+def test_text_lines(spark, tmp_path):
+    files.write_text_lines(spark.createDataFrame([("a\nb", 1)], "game string, n int"), "game", str(tmp_path / "j"))
+    assert [r.text for r in spark.read.json(str(tmp_path / "j")).collect()] == ["a\nb"]
