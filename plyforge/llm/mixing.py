@@ -38,17 +38,22 @@ def _valid(targets: DataFrame) -> DataFrame:
     return rows.groupBy("mix_name", "source").agg(F.sum("weight").alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("max_repeats"), F.coalesce(F.max("budget_tokens"), F.lit(0)).alias("budget_tokens"), F.min("source_as_given").alias("source_as_given"))
 
 
+def _documents(sizes: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens): the documents that a mix may use, each once."""
+    return sizes.filter("doc_id is not null and source is not null and tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.*")
+
+
 def supply_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_name, source, source_as_given, share_tokens, available_tokens, short) of each target row.
 
     ``share_tokens`` is the source's part of the budget by weight,
-    ``available_tokens`` all its tokens times max_repeats; ``short`` is the
-    virtual time at which the source runs dry before its share is served.
+    ``available_tokens`` all its tokens times max_repeats; ``short`` is less
+    available than the share.  A sum only, for ``mix_report`` to check the queue by.
     """
     rows = _valid(targets)
     whole = rows.groupBy("mix_name").agg(F.sum("weight").alias("all"), F.max("budget_tokens").alias("budget"))
     # targets are a row a source and mix
-    joined = rows.join(F.broadcast(whole), "mix_name").join(F.broadcast(source_totals(sizes).join(F.broadcast(rows.select("source").distinct()), "source", "left_semi")), "source", "left")
+    joined = rows.join(F.broadcast(whole), "mix_name").join(F.broadcast(source_totals(_documents(sizes)).join(F.broadcast(rows.select("source").distinct()), "source", "left_semi")), "source", "left")
     share = F.col("budget") * F.col("weight") / F.col("all")
     have = F.coalesce("tokens", F.lit(0)) * F.col("max_repeats")
     return joined.select("mix_name", "source", "source_as_given", F.round(share, 6).alias("share_tokens"), have.cast("bigint").alias("available_tokens"), (have < share - 1e-6).alias("short"))
@@ -78,8 +83,7 @@ def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", b
     sees a hash bucket of a source or a time bin of a mix, never either whole.
     """
     spark = sizes.sparkSession
-    docs = sizes.filter("doc_id is not null and source is not null and tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("x")).select("doc_id", "x.*")
-    docs = cut_lineage(docs)
+    docs = cut_lineage(_documents(sizes))
     plan = _valid(targets)
     totals = source_totals(docs).join(F.broadcast(plan.select("source").distinct()), "source", "left_semi")
     have = {r.source: r for r in totals.collect()}  # a row a source that a target names
@@ -111,11 +115,21 @@ def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", b
 
 
 def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_name, source, target_share, actual_share, tokens, uses, most_repeats, short) of each target row."""
-    got = mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("pass").alias("most_repeats"))
+    """(mix_name, source, source_as_given, target_share, actual_share, tokens, uses, most_repeats, short) of each target row.
+
+    A source is ``short`` if the queue has served every document of it
+    max_repeats times and its share was not reached.  The queue serves a source
+    that cannot reach its share whole before the budget ends, so the plain sum
+    of its supply must say the same; the report fails if it does not.
+    """
+    got = cut_lineage(mixed.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("pass").alias("most_repeats")))
     whole = got.groupBy("mix_name").agg(F.sum("tokens").alias("all"))
     rows = _valid(targets)
-    weights = rows.groupBy("mix_name").agg(F.sum("weight").alias("weights"))
-    out = rows.join(F.broadcast(weights), "mix_name").join(got, ["mix_name", "source"], "left").join(whole, "mix_name", "left").join(supply_report(sizes, targets).select("mix_name", "source", "short"), ["mix_name", "source"])
+    weights = rows.groupBy("mix_name").agg(F.sum("weight").alias("weights"), F.max("budget_tokens").alias("budget"))
+    supply = supply_report(sizes, targets).select("mix_name", "source", "available_tokens", F.col("short").alias("supply_short"))
+    out = rows.join(F.broadcast(weights), "mix_name").join(got, ["mix_name", "source"], "left").join(whole, "mix_name", "left").join(supply, ["mix_name", "source"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("mix_name", "source", F.round(F.col("weight") / F.col("weights"), 6).alias("target_share"), F.round(F.coalesce(zero("tokens") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"), zero("tokens").cast("bigint").alias("tokens"), zero("uses").cast("bigint").alias("uses"), zero("most_repeats").alias("most_repeats"), "short")
+    dry = (zero("tokens") == F.col("available_tokens")) & (zero("most_repeats") == F.when(F.col("available_tokens") > 0, F.col("max_repeats")).otherwise(0))
+    short = dry & (zero("tokens") < F.col("budget") * F.col("weight") / F.col("weights") - 1e-6)
+    checked = F.when(short == F.col("supply_short"), short).otherwise(F.raise_error(F.concat(F.lit("queue and supply differ: "), F.col("mix_name"), F.lit(" "), F.col("source"))).cast("boolean"))
+    return out.select("mix_name", "source", "source_as_given", F.round(F.col("weight") / F.col("weights"), 6).alias("target_share"), F.round(F.coalesce(zero("tokens") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"), zero("tokens").cast("bigint").alias("tokens"), zero("uses").cast("bigint").alias("uses"), zero("most_repeats").alias("most_repeats"), checked.alias("short"))

@@ -140,8 +140,16 @@ def p6_report(spark, d):
 # ---- 7: mixing ------------------------------------------------------------------
 
 
+def _mix_report(spark, d):
+    from plyforge.session import cut_lineage
+
+    sizes = cut_lineage(_sizes(spark, d))
+    return mixing.mix_report(cut_lineage(mixing.mix_documents(sizes, _table(spark, d, "mix_targets"))), sizes, _table(spark, d, "mix_targets"))
+
+
 def p7_found(spark, d):
-    return mixing.supply_report(_sizes(spark, d), _table(spark, d, "mix_targets")).filter("short").select("mix_name", "source_as_given").withColumnRenamed("source_as_given", "source")
+    """The sources that the queue has used up before their share is served."""
+    return _mix_report(spark, d).filter("short").select("mix_name", F.col("source_as_given").alias("source"))
 
 
 def p7_mix(spark, d):
@@ -149,10 +157,7 @@ def p7_mix(spark, d):
 
 
 def p7_report(spark, d):
-    from plyforge.session import cut_lineage
-
-    sizes = cut_lineage(_sizes(spark, d))
-    return mixing.mix_report(cut_lineage(mixing.mix_documents(sizes, _table(spark, d, "mix_targets"))), sizes, _table(spark, d, "mix_targets"))
+    return _mix_report(spark, d).drop("source_as_given")
 
 
 def p7_mix_by_characters(spark, d):

@@ -79,3 +79,25 @@ def test_empty_tables_and_bad_rows(spark):
     assert mix_documents(s.limit(0), t).count() == 0 and mix_documents(s, t.limit(0)).count() == 0
     bad = spark.createDataFrame([("m", None, 1.0, 1, 10), (None, "big", 1.0, 1, 10), ("m", "big", 0.0, 1, 10), ("m", "mid", None, 1, 10), ("m", "small", 1.0, None, 5000)], TARGETS)
     assert {(r.mix_name, r.source) for r in mix_documents(s, bad).collect()} == {("m", "small")}
+
+
+def test_short_sources_come_from_the_queue(spark):
+    sizes, targets = data(3)
+    targets = [*targets, ("nil", "small", 1.0, 0, 100)]
+    s, t = frames(spark, [*sizes, (1, "big", 10**6)], targets)
+    mixed = mix_documents(s, t)
+    report = {(r.mix_name, r.source): r.short for r in mix_report(mixed, s, t).collect()}
+    supply = {(r.mix_name, r.source): r.short for r in supply_report(s, t).collect()}
+    assert report == supply and {("all", "small"), ("none", "absent"), ("nil", "small")} <= {k for k, v in report.items() if v} != set(report)
+    with pytest.raises(Exception, match="queue and supply differ"):
+        mix_report(mixed.filter("source <> 'small'"), s, t).collect()
+
+
+def test_found_runs_the_queue(spark, tmp_path, monkeypatch):
+    from plyforge.llm import mixing, queries
+
+    spark.createDataFrame([(i, "forum", "a few words " * (i + 1)) for i in range(5)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("m", "Forum", 1.0, 2, 10**6)], TARGETS).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    calls, run = [], mixing.mix_documents
+    monkeypatch.setattr(mixing, "mix_documents", lambda *a, **k: calls.append(1) or run(*a, **k))
+    assert [tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()] == [("m", "Forum")] and calls
