@@ -98,9 +98,10 @@ def p4_best_lines(spark, d):
 
 
 def _categories(spark, d):
+    """Category and, as stratum, the recorded split of each record."""
     return {
-        "label_rows": quota_flow.category_records(_table(spark, d, "label_rows"), ["game_id", "ply"], quota_flow.phase_name(F.col("phase"))),
-        "puzzles": quota_flow.category_records(_table(spark, d, "puzzles"), ["puzzle_id"], quota_flow.band_name(F.col("band"))),
+        "label_rows": quota_flow.category_records(_table(spark, d, "label_rows"), ["game_id", "ply"], quota_flow.phase_name(F.col("phase")), spanning_forest.split_name(F.col("split"))),
+        "puzzles": quota_flow.category_records(_table(spark, d, "puzzles"), ["puzzle_id"], quota_flow.band_name(F.col("band")), spanning_forest.split_name(F.col("split"))),
     }
 
 

@@ -2,7 +2,7 @@
 
 Records are counted in cells (category x stratum).  In the network, category
 arcs carry the targets and floors, cell arcs the availability, and stratum arcs
-the second margin; slack arcs, dearer than any other path, take what the cells
+the second margin (for the queries, the recorded split); slack arcs, dearer than any other path, take what the cells
 cannot supply, so the flow on them is the shortfall.  Only counts reach the
 driver: categories of the targets times strata, whatever the number of records.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -109,38 +110,61 @@ def shortfalls(cells: Mapping[tuple[str, object], int], targets: Sequence[Target
     return {c: net.flow(e) for c, e in slack.items()}
 
 
+def rounded(parts: Mapping[object, Fraction], rng: random.Random) -> dict[object, int]:
+    """Each part rounded up with the odds of its fraction, and the sums of any first parts too, by one random start."""
+    upto, out = Fraction(rng.randrange(1 << 30), 1 << 30), {}
+    for key, part in parts.items():
+        out[key] = int(upto + part) - int(upto)
+        upto += part
+    return out
+
+
 def quotas(cells: Mapping[tuple[str, object], int], targets: Sequence[Target], size: int, seed: str) -> dict[tuple[str, object], int]:
     """Integer cell quotas of a sample of ``size`` records.
 
-    Dear to miss, in this order: floors, then target shares (whole parts, then
-    one more by the size of the fraction), then filling the sample from
-    categories with records left.  Within a category the strata are margins too:
-    each gets its proportional part, rounded up or down at random with the odds
-    of its fraction, so expected cell quotas are proportional.
+    A first flow fixes what each category gives.  Dear to miss, in this order:
+    floors, then target shares (whole parts, then one more by the size of the
+    fraction), then filling the sample from categories with records left.
+    A second flow divides that over the cells.  A cell's part is proportional
+    to its records within the category, a stratum's margin the sum of its cells'
+    parts; each is rounded up or down at random with the odds of its fraction,
+    and so that parts still add up.  Dear to miss there, in this order: margins
+    within one record, cells within one record, then the drawn roundings.
     """
     rng = random.Random(seed)
-    net, arcs = Network(), {}
     by_category: dict[str, list[tuple[object, int]]] = {}
     for (category, stratum), n in sorted(cells.items(), key=lambda x: (str(x[0][0]), str(x[0][1]))):
         by_category.setdefault(category, []).append((stratum, n))
+    shares, given = Network(), {}
     for t in targets:
         exact = t.share * size
         floor, whole = min(t.floor, size), int(exact)
-        rest = sum(n for _, n in by_category.get(t.category, []))
-        node = ("category", t.category)
-        for cap, cost in ((floor, 0), (max(0, whole - floor), 10_000), (int(exact != whole and whole >= floor), 20_000 + int(1000 * (1 - (exact - whole)))), (rest, 100_000)):
-            net.arc("source", node, cap, cost)
         total = sum(n for _, n in by_category.get(t.category, []))
-        goal = min(total, max(floor, round(exact)))
-        for stratum, n in by_category.get(t.category, []):
-            part = Fraction(goal * n, total) if total else Fraction(0)
-            up = int(part) + (rng.random() < part - int(part))
-            cell = ("cell", t.category, stratum)
-            net.arc(node, cell, min(n, up), 0)
-            net.arc(node, cell, max(0, n - up), 1 + rng.randrange(100))
-            arcs[(t.category, stratum)] = net.arc(cell, "sink", n, 0)
-    net.push("source", "sink", size)
-    return {k: net.flow(e) for k, e in arcs.items()}
+        node = ("category", t.category)
+        for cap, cost in ((floor, 0), (max(0, whole - floor), 10_000), (int(exact != whole and whole >= floor), 20_000 + int(1000 * (1 - (exact - whole)))), (total, 100_000)):
+            shares.arc("source", node, cap, cost)
+        given[t.category] = shares.arc(node, "sink", total, 0)
+    shares.push("source", "sink", size)
+    goals = {c: shares.flow(e) for c, e in given.items()}
+    net, arcs = Network(), {}
+    parts = {(c, s): Fraction(goal * n, sum(m for _, m in by_category[c])) for c, goal in goals.items() if goal for s, n in by_category[c]}
+    margins: dict[object, Fraction] = {}
+    for (_, s), part in parts.items():
+        margins[s] = margins.get(s, Fraction(0)) + part
+    for c, goal in goals.items():
+        net.arc("source", ("category", c), goal, 0)
+        for s, up in rounded({s: parts[c, s] for s, _ in by_category.get(c, []) if goal}, rng).items():
+            n, top = cells[c, s], -(-parts[c, s].numerator // parts[c, s].denominator)
+            cell = ("cell", c, s)
+            for cap, cost in ((up, 0), (top - up, 1 + rng.randrange(100)), (n - top, 100_000)):
+                net.arc(("category", c), cell, cap, cost)
+            arcs[c, s] = net.arc(cell, ("stratum", s), n, 0)
+    for s, up in rounded(margins, rng).items():
+        top = -(-margins[s].numerator // margins[s].denominator)
+        for cap, cost in ((up, 0), (top - up, 1000), (sum(goals.values()), 10_000_000)):
+            net.arc(("stratum", s), "sink", cap, cost)
+    net.push("source", "sink", sum(goals.values()))
+    return {(c, s): net.flow(arcs[c, s]) if (c, s) in arcs else 0 for c in goals for s, _ in by_category.get(c, [])}
 
 
 def plan_sample(cells: Mapping[tuple[str, object], int], targets: Sequence[Target], size: int, seed: str) -> tuple[dict[str, int], dict[tuple[str, object], int]]:
@@ -165,10 +189,15 @@ def band_name(column: Column) -> Column:
     return F.when(low != "", F.concat_ws("-", low, high)).when(opened.isNotNull(), F.concat(opened, F.lit("+")))
 
 
-def category_records(df: DataFrame, keys: Sequence[str], category: Column) -> DataFrame:
-    """(record, category): the distinct categories that the rows of a record say; records with a null key are none."""
-    rows = df.select(*keys, category.alias("category")).dropna()
-    return rows.select(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("record"), "category").distinct()
+def category_records(df: DataFrame, keys: Sequence[str], category: Column, stratum: Column | None = None) -> DataFrame:
+    """(record, category, stratum): the distinct categories that the rows of a record say; records with a null key are none.
+
+    A record has one stratum, the smallest that any of its rows says; "" if none says any.
+    """
+    rows = df.select(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("record"), category.alias("category"), (stratum if stratum is not None else F.lit(None)).cast("string").alias("stratum"), *keys).dropna(subset=list(keys))
+    # a row a record, with the few categories it says
+    one = rows.groupBy("record").agg(F.collect_set("category").alias("said"), F.coalesce(F.min("stratum"), F.lit("")).alias("stratum"))
+    return one.select("record", F.explode("said").alias("category"), "stratum")
 
 
 def read_targets(sample_targets: DataFrame) -> dict[str, dict]:
@@ -194,20 +223,23 @@ def count_cells(records: DataFrame, stratum: str | None = None) -> dict[tuple[st
 def target_report(tables: Mapping[str, DataFrame], sample_targets: DataFrame) -> DataFrame:
     """(sample_name, category, needed, available, shortfall) of every target row.
 
-    ``tables`` maps a base table to its (record, category) rows.
+    ``tables`` maps a base table to its (record, category, stratum) rows.
     """
     spark = sample_targets.sparkSession
-    cells = {name: count_cells(df) for name, df in tables.items()}
+    cells = {name: count_cells(df, "stratum") for name, df in tables.items()}
     rows = []
     for sample, x in read_targets(sample_targets).items():
         have = cells.get(x["table"], {})
         short = shortfalls(have, x["targets"], x["size"])
-        rows += [(sample, t.category, needed(t, x["size"]), have.get((t.category, None), 0), short[t.category]) for t in x["targets"]]
+        whole = Counter()
+        for (category, _), n in have.items():
+            whole[category] += n
+        rows += [(sample, t.category, needed(t, x["size"]), whole[t.category], short[t.category]) for t in x["targets"]]
     return spark.createDataFrame(rows, "sample_name string, category string, needed bigint, available bigint, shortfall bigint")
 
 
 def draw_samples(tables: Mapping[str, DataFrame], sample_targets: DataFrame, *, salt: str = "draw1") -> DataFrame:
-    """(sample_name, category, record): the records drawn for every sample.
+    """(sample_name, category, stratum, record): the records drawn for every sample.
 
     A record with several categories may serve each of them, but is drawn once a
     sample: under its smallest category.  Of each cell the quota's records with
@@ -221,11 +253,11 @@ def draw_samples(tables: Mapping[str, DataFrame], sample_targets: DataFrame, *,
         mine = {s: x for s, x in plans.items() if x["table"] == name}
         if not mine:
             continue
-        single = df.groupBy("record").agg(F.min("category").alias("category"))
-        cells = count_cells(single)
-        rows = [(s, c, q) for s, x in mine.items() for (c, _), q in quotas(cells, x["targets"], x["size"], f"{salt}:{s}").items() if q]
-        quota = spark.createDataFrame(rows, "sample_name string, category string, quota bigint")  # a row a target
-        wanted = single.join(F.broadcast(quota), "category").withColumn("h", salted_hash(salt, F.col("sample_name"), F.col("record")))
-        part = bottom_k(wanted, ["sample_name", "category"], "h", F.col("quota"), ["record"]).select("sample_name", "category", "record")
+        single = df.groupBy("record").agg(F.min("category").alias("category"), F.min("stratum").alias("stratum"))
+        cells = count_cells(single, "stratum")
+        rows = [(s, c, k, q) for s, x in mine.items() for (c, k), q in quotas(cells, x["targets"], x["size"], f"{salt}:{s}").items() if q]
+        quota = spark.createDataFrame(rows, "sample_name string, category string, stratum string, quota bigint")  # a row a target and stratum
+        wanted = single.join(F.broadcast(quota), ["category", "stratum"]).withColumn("h", salted_hash(salt, F.col("sample_name"), F.col("record")))
+        part = bottom_k(wanted, ["sample_name", "category", "stratum"], "h", F.col("quota"), ["record"]).select("sample_name", "category", "stratum", "record")
         drawn = part if drawn is None else drawn.unionByName(part)
-    return drawn if drawn is not None else spark.createDataFrame([], "sample_name string, category string, record string")
+    return drawn if drawn is not None else spark.createDataFrame([], "sample_name string, category string, stratum string, record string")

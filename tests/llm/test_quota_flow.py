@@ -67,3 +67,29 @@ def test_reports_and_draws(spark):
     assert sorted(drawn) == sorted(again)
     assert draw_samples({"t": tables(spark)["t"].limit(0)}, targets).count() == 0
     assert target_report(tables(spark), targets.limit(0)).count() == 0
+
+
+def test_strata_keep_their_margins_across_categories():
+    targets = [Target(c, Fraction(1, 4), 0) for c in "abcd"]
+    cells = {(c, s): n for c in "abcd" for s, n in (("x", 29), ("y", 35), ("z", 36))}
+    for i in range(50):
+        q, by = quotas(cells, targets, 40, str(i)), Counter()
+        for (_, s), n in q.items():
+            by[s] += n
+        assert sum(q.values()) == 40 and all(sum(q[c, s] for s in "xyz") == 10 for c in "abcd")
+        assert by["x"] in (11, 12) and by["y"] == 14 and by["z"] in (14, 15)
+        assert all(q[c, "x"] in (2, 3) and q[c, "y"] in (3, 4) and q[c, "z"] in (3, 4) for c in "abcd")
+
+
+def test_samples_hold_the_margin_of_a_second_field(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 2400, "opening").otherwise("middlegame").alias("phase"), F.when(F.col("id") % 10 == 0, "test").when(F.col("id") % 10 == 1, None).otherwise("train").alias("split"))
+    rows = rows.unionByName(spark.createDataFrame([(1, "opening", "val"), (None, "opening", "val")], "id bigint, phase string, split string"))
+    records = category_records(rows, ["id"], phase_name(F.col("phase")), F.col("split"))
+    assert {(r.category, r.stratum): r.n for r in records.groupBy("category", "stratum").agg(F.count(F.lit(1)).alias("n")).collect()} == {
+        ("opening", "train"): 1920, ("opening", "test"): 240, ("opening", ""): 239, ("opening", "val"): 1, ("middlegame", "train"): 1280, ("middlegame", "test"): 160, ("middlegame", ""): 160}
+    targets = spark.createDataFrame([("s", "t", "phase", c, 0.5, 0, 200, 1) for c in ("opening", "middlegame")], TARGETS)
+    drawn = draw_samples({"t": records}, targets).collect()
+    cells, margin = Counter((r.category, r.stratum) for r in drawn), Counter(r.stratum for r in drawn)
+    assert len({r.record for r in drawn}) == 200 and margin["train"] == 160 and margin["test"] == 20 and margin["val"] in (0, 1)
+    assert cells["opening", "train"] == 80 and cells["middlegame", "test"] == 10
+    assert {r.category: r.available for r in target_report({"t": records}, targets).collect()} == {"opening": 2400, "middlegame": 1600}
