@@ -76,11 +76,9 @@ def p3_forest(spark, d):
 
 
 def p3_split_report(spark, d):
-    """Records and ids of each split, beside the shares asked for."""
+    """Games, ids and records of each split, and how many of the records have no game."""
     rows = p3_splits(spark, d)
-    counts = rows.select("root", "size", "split").distinct().groupBy("split").agg(F.count(F.lit(1)).alias("games"), F.sum("size").alias("records"))
-    ids = rows.groupBy("split").agg(F.count(F.lit(1)).alias("ids"))
-    return counts.join(ids, "split").select("split", "games", "ids", "records")
+    return rows.groupBy("split").agg(F.count_distinct("root").alias("games"), F.count_distinct("game_id").alias("ids"), F.count(F.lit(1)).alias("records"), F.count_if(F.col("root").isNull()).alias("no_game"))
 
 
 # ---- 4: best line ----------------------------------------------------------------

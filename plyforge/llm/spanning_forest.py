@@ -160,13 +160,29 @@ def torn_games(records: DataFrame, roots: DataFrame) -> DataFrame:
     return salted_lookup(placed.select("root", "game_id").distinct(), torn, ["root"], how="inner", spread="game_id").select("game_id")
 
 
+def _records(label_rows: DataFrame, puzzles: DataFrame) -> DataFrame:
+    """(kind, record, game_id): every row of both tables under its label_id or puzzle_id, where the table has that column."""
+    named = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), (F.col(key) if key in df.columns else F.lit(None)).cast("string").alias("record"), "game_id")
+    return named(label_rows, "label", "label_id").unionByName(named(puzzles, "puzzle", "puzzle_id"))
+
+
 def split_records(label_rows: DataFrame, puzzles: DataFrame, roots: DataFrame, shares: Mapping[str, str], salt: str = "deal1") -> DataFrame:
-    """(game_id, root, size, band, split): a split for every id with records.
+    """(kind, record, game_id, root, size, band, split): a split for every record, label rows and puzzles.
 
-    ``size`` counts the records, label rows and puzzles, of the whole component.
-    Records without a game_id belong to no game and are not in the result.
+    ``size`` counts the records of the whole component.  A record without a
+    game_id has a null root and is dealt as a component of its own, a puzzle
+    together with its redeliveries; if one of these has a game, it follows that
+    (the smallest id).  Only a row with neither game_id nor id of its own is
+    not in the result, as it has no name.
     """
-    counts = label_rows.select("game_id").unionByName(puzzles.select("game_id")).dropna().groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
-    placed = cut_lineage(counts.join(roots.withColumnRenamed("id", "game_id"), "game_id", "left").select("game_id", "n", F.coalesce("root", "game_id").alias("root")))
-    dealt = deal_splits(placed.groupBy("root").agg(F.sum("n").alias("size")), shares, salt)
-    return salted_lookup(placed.select("game_id", "root"), dealt, ["root"], how="inner", spread="game_id")
+    rows = _records(label_rows, puzzles)
+    told = rows.filter("kind = 'puzzle' and game_id is not null").groupBy("kind", "record").agg(F.min("game_id").alias("told"))
+    lone = rows.filter("game_id is null and record is not null").join(told, ["kind", "record"], "left").select("kind", "record", "game_id", F.col("told").alias("id"))
+    tied = rows.filter("game_id is not null").withColumn("id", F.col("game_id")).unionByName(lone.filter("id is not null"))
+    tied = salted_lookup(tied, roots, ["id"], spread="record").select("kind", "record", "game_id", F.coalesce("root", "id").alias("root"))
+    placed = tied.unionByName(lone.filter("id is null").withColumnRenamed("id", "root"))
+    unit = F.coalesce(F.col("root").cast("string"), F.concat_ws(":", "kind", "record"))
+    placed = cut_lineage(placed.withColumn("unit", unit))
+    dealt = deal_splits(placed.groupBy(F.col("unit").alias("root")).agg(F.count(F.lit(1)).alias("size")), shares, salt)
+    out = salted_lookup(placed, dealt.withColumnRenamed("root", "unit"), ["unit"], how="inner", spread="record")
+    return out.select("kind", "record", "game_id", "root", "size", "band", "split")

@@ -107,3 +107,17 @@ def test_deal_keeps_proportions_in_bands_and_whole(spark):
 def test_split_spellings(spark):
     df = spark.createDataFrame([(x,) for x in ("Train", "TRAINING", "trn", "valid", "VAL ", "dev", "tst", "", None, "other")], "s string")
     assert [r.x for r in df.select(split_name(F.col("s")).alias("x")).collect()] == ["train"] * 3 + ["val"] * 3 + ["test"] + [None] * 3
+
+
+def test_records_without_a_game_are_given_splits(spark):
+    labels = spark.createDataFrame([(1, 10, "train"), (2, 10, "val"), (3, 11, "val"), (4, None, "test"), (5, None, "test")], "label_id bigint, game_id bigint, split string")
+    rows = [("a", 11), ("b", None), ("b", None), ("B", None), ("c", None), ("c", 10), ("d", None), *((f"x{i}", None) for i in range(100))]
+    puzzles = spark.createDataFrame([(*r, "val") for r in rows], "puzzle_id string, game_id bigint, split string")
+    roots = spark.createDataFrame([(10, 10), (11, 10)], "id bigint, root bigint")
+    got = split_records(labels, puzzles, roots, {"train": "0.8", "val": "0.1", "test": "0.1"}).collect()
+    assert Counter((r.kind, r.record) for r in got) == Counter([("label", str(i)) for i in range(1, 6)] + [("puzzle", k) for k, _ in rows])
+    assert {(r.size, r.split) for r in got if r.root == 10} == {(6, next(r.split for r in got if r.root == 10))}
+    assert {r.root for r in got if (r.kind, r.record) == ("puzzle", "c")} == {10}
+    assert {(r.record, r.size) for r in got if r.root is None and r.record in "bBd"} == {("b", 2), ("B", 1), ("d", 1)}
+    assert len({r.split for r in got if r.record == "b"}) == 1 and all(r.split for r in got)
+    assert 75 <= sum(r.split == "train" for r in got if r.root is None) <= 95
