@@ -17,6 +17,12 @@ def clean_movetext(text: Column, depth: int = 8) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def plain_move(move: Column, line: Column) -> Column:
+    """The move in plain lower-case coordinates, or else the first of the line; null if neither has any."""
+    plain = lambda c: F.nullif(F.translate(F.lower(c), "=- \t\r\n", ""), F.lit(""))
+    return F.coalesce(plain(move), plain(F.regexp_extract(line, r"^\s*(\S+)", 1)))
+
+
 def san_tokens(text: Column) -> Column:
     """The moves of a cleaned movetext, without ``!`` and ``?``."""
     return F.filter(F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, "[!?]+$", "")), lambda t: t != "")

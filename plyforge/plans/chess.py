@@ -50,10 +50,15 @@ def walked_phases(spark, d):
     return walked.groupBy(F.when(F.col("phase") == "opening", "opening").otherwise("later").alias("phase")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_moves(spark, d):
+    """(line_id, fen, move) of every engine line, the move in one spelling."""
+    return table(spark, d, "engine_lines").select("line_id", "fen", text.plain_move(F.col("move"), F.col("line")).alias("move"))
+
+
 @register()
 def legal_moves(spark, d):
-    """Whether each plainly written first move is legal in its position; here all are but castlings written as king takes rook."""
-    rows = frames.spread(table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$")).select("line_id", "fen", "move"))
+    """Whether each row's first move is legal in its position; null without a move. Here all are but castlings written as king takes rook."""
+    rows = frames.spread(first_moves(spark, d))
     return rows.select("line_id", frames.is_legal(F.col("fen"), F.col("move")).alias("legal"))
 
 
@@ -78,8 +83,8 @@ def rebuild_prefix(spark, d):
 
 @register()
 def blunder_heuristic(spark, d):
-    """Share of moves that the one-reply material rule calls blunders, by recorded label."""
-    rows = frames.spread(table(spark, d, "engine_lines").filter(F.col("move").rlike("^[a-h][1-8][a-h][1-8][nbrq]?$")).select("line_id", "fen", "move"))
+    """How many first moves the one-reply material rule calls blunders; null are rows without a legal move or a position."""
+    rows = frames.spread(first_moves(spark, d))
     judged = rows.select("line_id", frames.blunder_verdict(F.col("fen"), F.col("move")).alias("blunder"))
     return judged.groupBy("blunder").agg(F.count(F.lit(1)).alias("n"))
 

@@ -91,3 +91,13 @@ def test_answers_rewards_and_blunders():
     assert G.reward("", "e2e5", 0.5)["total"] == -1.0
     assert G.blunder_verdict("4k3/8/8/3q4/8/8/8/3QK3 w - - 0 1", "d1d4") is True
     assert G.random_opening(6, "1:2") == G.random_opening(6, "1:2") != G.random_opening(6, "1:3")
+
+
+def test_every_engine_line_is_judged(spark, tmp_path):
+    from plyforge.plans import chess as plans
+
+    start, ahead = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", "8/P6k/8/8/8/8/8/K7 w - - 0 1"
+    rows = [(1, start, "e2e4", None), (2, start, " E2-E4 ", None), (3, ahead, "a7a8=Q", None), (4, start, None, " E2E4 e7e5"), (5, start, "", "e2e5"), (6, start, None, None), (7, start, " ", " "), (8, None, "e2e4", None)]
+    spark.createDataFrame(rows, "line_id bigint, fen string, move string, line string").write.parquet(f"{tmp_path}/engine_lines.parquet")
+    assert {r.line_id: r.legal for r in plans.legal_moves(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: None, 7: None, 8: None}
+    assert {r.blunder: r.n for r in plans.blunder_heuristic(spark, str(tmp_path)).collect()} == {False: 4, None: 4}
