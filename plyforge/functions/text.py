@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clean_movetext(text: Column, depth: int = 8) -> Column:
-    """Movetext without comments, variations (nested up to ``depth``), NAGs, result and move numbers."""
+def clean_movetext(text: Column) -> Column:
+    """Movetext without comments, variations (however deep), NAGs, result and move numbers."""
     out = F.regexp_replace(text, r"\{[^}]*\}", " ")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
+    # each round takes the innermost variations; there are no more levels than opening parentheses
+    levels = F.array_repeat(F.lit(0), F.length(out) - F.length(F.replace(out, F.lit("("), F.lit(""))))
+    out = F.reduce(levels, out, lambda x, _: F.when(x.contains("("), F.regexp_replace(x, r"\([^()]*\)", " ")).otherwise(x))
     out = F.regexp_replace(out, r"\$\d+", " ")
     out = F.regexp_replace(out, r"(?:1-0|0-1|1/2-1/2|\*)\s*$", " ")
     out = F.regexp_replace(out, r"\b\d+\.(?:\.\.)?", " ")

@@ -17,7 +17,23 @@ _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _
 
 @register(f"select doc_id, md5({_CLEAN}) clean, cast(len(list_filter(list_transform(string_split({_CLEAN}, ' '), lambda x: regexp_replace(x, '[!?]+$', '')), lambda x: x <> '')) as bigint) tokens from documents where source = 'pgn_dump'")
 def clean_text(spark, d):
-    docs = table(spark, d, "documents").filter("source = 'pgn_dump'").withColumn("c", text.clean_movetext(F.col("text")))
+    """Only the one spelling of the source that its SQL names; ``clean_text_whole`` takes every spelling."""
+    return _cleaned(table(spark, d, "documents").filter("source = 'pgn_dump'"))
+
+
+@register()
+def clean_text_whole(spark, d):
+    return _cleaned(pgn_dumps(spark, d))
+
+
+def pgn_dumps(spark, d):
+    """The PGN dumps among the documents, however the source is spelled."""
+    name = F.regexp_replace(F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")), r"[\s-]+", "_")
+    return table(spark, d, "documents").filter(name == "pgn_dump")
+
+
+def _cleaned(docs):
+    docs = docs.withColumn("c", text.clean_movetext(F.col("text")))
     return docs.select("doc_id", F.md5("c").alias("clean"), F.size(text.san_tokens(F.col("c"))).cast("bigint").alias("tokens"))
 
 
@@ -64,7 +80,17 @@ def encode_sequences(spark, d):
 
 @register("select doc_id, case when regexp_matches(t, '^[ #+\\-.0-9=BKNOQRabcdefghx/]*$') then cast(length(t) + 2 as bigint) end n_ids, regexp_matches(t, '^[ #+\\-.0-9=BKNOQRabcdefghx/]*$') plain from (select doc_id, regexp_replace(text, '^(?:\\[[^\\]]*\\]\\s*)+', '') t from documents where source = 'pgn_dump')")
 def char_tokenize(spark, d):
-    docs = table(spark, d, "documents").filter("source = 'pgn_dump'").withColumn("t", F.regexp_replace("text", r"^(?:\[[^\]]*\]\s*)+", ""))
+    """Only the one spelling of the source that its SQL names; ``char_tokenize_whole`` takes every spelling."""
+    return _tokenized(table(spark, d, "documents").filter("source = 'pgn_dump'"))
+
+
+@register()
+def char_tokenize_whole(spark, d):
+    return _tokenized(pgn_dumps(spark, d))
+
+
+def _tokenized(docs):
+    docs = docs.withColumn("t", F.regexp_replace("text", r"^(?:\[[^\]]*\]\s*)+", ""))
     encoded = vocab.encode_characters(F.col("t"))
     return docs.select("doc_id", F.size(encoded).cast("bigint").alias("x"), encoded.isNotNull().alias("plain")).select("doc_id", F.when(F.col("plain"), F.col("x")).alias("n_ids"), "plain")
 

@@ -148,3 +148,19 @@ def test_metrics_on_hand_made_cases(spark):
     assert [x.advantage for x in metrics.group_advantages(flat, "g", "r").collect()] == [0, 0]
     assert metrics.entropy_bits(flat, "g").first()[0] == 0
     assert metrics.roc_auc(df.limit(0), "p", "t").first()[0] is None
+
+
+def test_deep_variations_are_cleaned(spark):
+    deep = "1. e4 " + "".join(f"(1. d{i} " for i in range(12)) + ")" * 12 + " e5 (1... c5) 2. Nf3 *"
+    assert one(spark, text.clean_movetext(F.lit(deep))) == "e4 e5 Nf3"
+    assert one(spark, text.clean_movetext(F.lit("1. e4 ((1. d4) e5"))) == "e4 ( e5" and one(spark, text.clean_movetext(F.lit(None).cast("string"))) is None
+
+
+def test_whole_texts_and_sequences(spark, tmp_path):
+    from plyforge.plans import sequences
+
+    docs = [(1, "pgn_dump", "1. e4 e5"), (2, "PGN_Dump ", "1. d4"), (3, "forum", "hello"), (4, "PGN-dump", "1. c4")]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    assert {r.doc_id: r.tokens for r in sequences.clean_text_whole(spark, d).collect()} == {1: 2, 2: 1, 4: 1}
+    assert {r.doc_id for r in sequences.char_tokenize_whole(spark, d).collect()} == {1, 2, 4}
