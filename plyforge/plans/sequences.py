@@ -153,7 +153,7 @@ def block_windows(spark, d):
     select game_id, batch_no, array_to_string(list_slice(m, 2, 20) || list_transform(range(20 - len(list_slice(m, 2, 20))), lambda x: '<pad>'), ' ') y from (select game_id, batch_no, list_slice(string_split(uci, ' '), 1, 20) m from games where uci is not null)
 """)
 def shifted_window(spark, d):
-    """Targets of a window: its tokens moved by one, filled up with pad."""
+    """Targets of a window: its tokens moved by one, filled up with pad; the first 20 moves, as its SQL says."""
     x = F.slice(F.split("uci", " "), 1, 20)
     y = F.slice(x, 2, 20)
     padded = F.concat(y, F.array_repeat(F.lit("<pad>"), F.lit(20) - F.size(y)))
@@ -170,6 +170,24 @@ def padded_batches(spark, d):
     return rows.select("game_id", "batch_no", F.array_join(F.concat("ids", F.array_repeat(F.lit("0"), F.lit(40) - F.size("ids"))), " ").alias("padded"), F.size("ids").cast("bigint").alias("real"))
 
 
+@register()
+def shifted_window_whole(spark, d):
+    """Targets of the consecutive windows of 200 tokens of each whole game, filled up with pad."""
+    games = table(spark, d, "games").filter("uci is not null").withColumn("m", F.split("uci", " "))
+    rows = games.select("game_id", "batch_no", "m", F.explode(F.sequence(F.lit(0), F.expr("greatest(size(m) - 2, 0) div 200").cast("int"))).alias("window"))
+    y = F.slice("m", F.col("window") * 200 + 2, 200)
+    return rows.select("game_id", "batch_no", "window", F.array_join(F.concat(y, F.array_repeat(F.lit("<pad>"), F.lit(200) - F.size(y))), " ").alias("y"))
+
+
+@register()
+def padded_batches_whole(spark, d):
+    """Whole games padded to the longest of their batch (batch_no)."""
+    rows = table(spark, d, "games").filter("uci is not null").withColumn("ids", F.transform(F.split("uci", " "), lambda m: F.length(m).cast("string")))
+    width = rows.groupBy("batch_no").agg(F.max(F.size("ids")).alias("width"))  # a row a batch
+    rows = rows.join(F.broadcast(width), rows.batch_no.eqNullSafe(width.batch_no)).drop(width.batch_no)
+    return rows.select("game_id", "batch_no", F.array_join(F.concat("ids", F.array_repeat(F.lit("0"), F.col("width") - F.size("ids"))), " ").alias("padded"), F.size("ids").cast("bigint").alias("real"))
+
+
 @register("""
     with t as (select label_id, unnest(range(64)) i, fen from label_rows where fen is not null), u as (select label_id, i, cast(('0x' || substr(md5('mask:' || label_id || ':' || i), 1, 8)) as bigint) % 10000 a, cast(('0x' || substr(md5('mask:' || label_id || ':' || i), 9, 8)) as bigint) % 100 b from t)
     select cast(count(*) as bigint) n, count(*) filter (a < 1500) masked, count(*) filter (a < 1500 and b < 80) hidden, count(*) filter (a < 1500 and b >= 80 and b < 90) swapped, count(*) filter (a < 1500 and b >= 90) kept from u

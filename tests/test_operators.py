@@ -161,6 +161,13 @@ def test_whole_texts_and_sequences(spark, tmp_path):
 
     docs = [(1, "pgn_dump", "1. e4 e5"), (2, "PGN_Dump ", "1. d4"), (3, "forum", "hello"), (4, "PGN-dump", "1. c4")]
     spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    games = [(1, 1, " ".join(["e2e4"] * 450)), (2, 1, "e2e4 a7a8q"), (3, 1, None), (4, 2, "e2e4")]
+    spark.createDataFrame(games, "game_id bigint, batch_no int, uci string").write.parquet(f"{tmp_path}/games.parquet")
     d = str(tmp_path)
     assert {r.doc_id: r.tokens for r in sequences.clean_text_whole(spark, d).collect()} == {1: 2, 2: 1, 4: 1}
     assert {r.doc_id for r in sequences.char_tokenize_whole(spark, d).collect()} == {1, 2, 4}
+    got = {r.game_id: (r.padded.split(" "), r.real) for r in sequences.padded_batches_whole(spark, d).collect()}
+    assert {k: (len(v), n) for k, (v, n) in got.items()} == {1: (450, 450), 2: (450, 2), 4: (1, 1)} and got[2][0][:3] == ["4", "5", "0"]
+    windows = {(r.game_id, r.window): r.y.split(" ") for r in sequences.shifted_window_whole(spark, d).collect()}
+    assert sorted(windows) == [(1, 0), (1, 1), (1, 2), (2, 0), (4, 0)] and all(len(y) == 200 for y in windows.values())
+    assert sum(t != "<pad>" for k, y in windows.items() for t in y if k[0] == 1) == 449 and windows[2, 0][:2] == ["a7a8q", "<pad>"]
