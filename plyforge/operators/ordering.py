@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.session import cut_lineage
+
 
 def salted_hash(salt: str, *columns: Column) -> Column:
     """32 hex digits of md5 over ``salt:col:col``; uniform, and the same in any engine."""
@@ -76,3 +78,17 @@ def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequenc
     offsets = _bucket_offsets(df, group, bucket, F.coalesce(F.col(amount), F.lit(0)), "__before")
     local = F.sum(F.coalesce(F.col(amount), F.lit(0))).over(Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return _attach(df, offsets, group, bucket).withColumn(name, F.col("__before") + local).withColumnRenamed("__before_total", f"{name}_total").drop("__before")
+
+
+def range_running_sum(df: DataFrame, order: Sequence[Column | str], amount: str, *, name: str = "running", partitions: int | None = None) -> DataFrame:
+    """Adds the inclusive sum of ``amount`` over all rows in the given order, and ``<name>_total``.
+
+    Rows are put in ranges of the order (sampled bounds, so a range holds about
+    an equal part of the rows whatever their distribution), written once, and
+    summed by range and then within it: no task sees more than a range.  Rows
+    that are equal in the whole order share a range and are taken one after the
+    other.  Null amounts count as 0.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = cut_lineage(ranged.withColumn("__range", F.spark_partition_id()))
+    return running_sum(ranged, [], "__range", order, amount, name=name).drop("__range")
