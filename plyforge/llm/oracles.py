@@ -34,6 +34,34 @@ case when lower(trim(item_kind)) = 'puzzle' then nullif(regexp_replace(trim(item
 """
 
 
+#: Alternate scaling of the rows and columns of the smoothed matrix, to the same stop.
+_STRENGTHS = f"""
+with recursive {_GAMES.strip()[5:]},
+cells as (
+  select winner, loser, sum(w) wins from (
+    select item_a winner, item_b loser, cast(score as double) w from games_once where item_a <> item_b
+    union all select item_b, item_a, 1 - cast(score as double) from games_once where item_a <> item_b)
+  where winner in (select stage from stages) and loser in (select stage from stages) group by all),
+names as (select stage, row_number() over (order by stage) i from (select distinct stage from stages)),
+met as (
+  select a.i, b.i j, coalesce(wins, 0) w from names a cross join names b left join cells on winner = a.stage and loser = b.stage
+  union all select i, 17, 0.05 from names union all select 17, i, 0.05 from names union all select 17, 17, 0),
+own as (select i, sum(w) own from (select i, w from met union all select j, w from met) group by 1),
+matrix as (select list(r order by i) m from (select met.i, list(w + if(met.i = j, own, 0) order by j) r from met join own using (i) group by 1)),
+sweeps(k, o, d, moved) as (
+  select 0, list_transform(range(17), lambda x: cast(1 as double)), list_transform(range(17), lambda x: cast(1 as double)), cast(1 as double)
+  union all
+  select k + 1, o2, d2, list_max(list_transform(range(1, 17), lambda x: ln(o2[x] / d2[x]) - ln(o[x] / d[x]))) - list_min(list_transform(range(1, 17), lambda x: ln(o2[x] / d2[x]) - ln(o[x] / d[x]))) from (
+    select k, o, d, o2, list_transform(range(1, 18), lambda y: list_sum(list_transform(range(1, 18), lambda x: m[x][y] / o2[x]))) d2 from (
+      select k, o, d, m, list_transform(range(1, 18), lambda x: list_sum(list_transform(range(1, 18), lambda y: m[x][y] / d[y]))) o2 from sweeps cross join matrix where moved > 1e-10 and k < 20000))),
+rest as (select o, d, sqrt(exp(list_avg(list_transform(range(1, 17), lambda x: ln(o[x] / d[x]))))) level from sweeps order by k desc limit 1),
+scaled as (select stage, o[i] / level offence, d[i] * level defence, o[i] / d[i] / level / level strength from rest cross join names),
+played as (select stage, sum(wins) games from (select winner stage, wins from cells union all select loser, wins from cells) group by 1)
+select cast(row_number() over (order by round(strength, 9) desc, stage) as integer) place, stage, round(strength, 4) strength, round(offence, 3) offence, round(defence, 3) defence, coalesce(games, 0) games
+from scaled left join played using (stage)
+"""
+
+
 def _sample(table: str, key: str, num: int, den: int, salt: str) -> str:
     return f"""
     with first as (select {key}, min(batch_no) batch_no from {table} where {key} is not null group by 1),
@@ -117,6 +145,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_win_matrix": _GAMES + """select winner, loser, sum(w) wins from (
             select item_a winner, item_b loser, cast(score as double) w from games_once where item_a <> item_b
             union all select item_b, item_a, 1 - cast(score as double) from games_once where item_a <> item_b) group by all""",
+        "p1_strengths": _STRENGTHS,
+        "p1_found": f"select place, stage from ({_STRENGTHS})",
         "p2_found": f"""
             with rows as (select distinct sample_name, draw_no, lower(trim(item_kind)) kind, {_KEY} k from sample_draws),
             live as (select 'game' kind, cast(game_id as varchar) k from games union select 'puzzle', trim(puzzle_id) from puzzles)

@@ -1,26 +1,30 @@
 """One global ranking from pairwise comparisons, by offence-defence scaling.
 
 ``W[i, j]`` is the number of wins of item i over item j (a draw adds one half
-to both).  Sinkhorn iterations look for scalings ``o`` and ``d`` for which
-``W[i, j] / (o[i] * d[j])`` has unit row and column sums: an item's offence
-sums its wins over the defence of those it beat, its defence sums its losses
-over the offence of those it lost to.  Strength is offence / defence.
+to both).  Sinkhorn iterations rescale the rows and columns of the smoothed
+matrix M in turn,
+
+    offence[i] = sum_j M[i, j] / defence[j],   defence[j] = sum_i M[i, j] / offence[i],
+
+until ``M[i, j] / (offence[i] * defence[j])`` has unit row and column sums.
+Strength is offence / defence.
 
 Why this is fair to items compared unevenly often: if i beats j with odds
 ``s[i] / s[j]`` then ``E W[i, j] = C[i, j] * sqrt(s[i] / s[j])`` with a
 symmetric C that holds the numbers of comparisons.  Scaling C alone gives the
-same t to row and column i, so W has ``o = sqrt(s) / t`` and ``d = 1 / (sqrt(s)
-* t)``, and t leaves the quotient: the strength is s whatever the schedule.
-
-Smoothing.  (1) Each item plays ``prior`` games against one virtual item of
-average strength, half of them won, which ties unconnected parts together and
-keeps strengths finite.  (2) Each cell is weighted by the symmetric ``sqrt(s_i *
-s_j) / (s_i + s_j)`` of the last round, and the diagonal is padded until all row
-sums of the balanced matrix agree.  Both are symmetric, so they leave the
-argument above as it is, and with them the fixed point solves the likelihood
-equations of the comparisons: the strengths are those that best explain the
-results.  Each round is one Sinkhorn sweep, an offence and a defence half-step
-from the strengths of the last round, until nothing moves.
+same t to row and column i, so W has offence ``sqrt(s) * t`` and defence ``t /
+sqrt(s)``, and t leaves the quotient: the strength is s whatever the schedule.
+
+Smoothing, fixed before the first sweep:
+
+* each item plays ``prior`` games against one virtual item, half of them won,
+  which ties unconnected parts together and keeps strengths finite;
+* the diagonal holds an item's own number of games.  Any diagonal is symmetric,
+  so it leaves the argument above as it is; it gives M total support, without
+  which the scaling need not exist or be unique.
+
+A few games weigh differently here than in a likelihood fit, so strengths of
+items that hardly met differ from it; they agree as games accumulate.
 """
 
 from __future__ import annotations
@@ -31,10 +35,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.operators.ordering import range_running_sum
 from plyforge.session import cut_lineage
 
-#: Items and cells of the win matrix that are solved on the driver (about 120 MB); more are solved by joins.
-LOCAL_ITEMS, LOCAL_PAIRS = 200_000, 4_000_000
+#: Items and cells of the win matrix that are solved on the driver (at most about 150 MB there); more are solved by joins, to the same stop.
+LOCAL_ITEMS, LOCAL_CELLS = 200_000, 1_000_000
+#: The sweeps end when no log strength moves against another by more than this, and fail after so many.
+TOLERANCE, SWEEPS = 1e-10, 20_000
+
+
+class NotConverged(RuntimeError):
+    """The sweeps ended before the strengths came to rest."""
 
 
 def win_matrix(games: DataFrame, a: str, b: str, score: str) -> DataFrame:
@@ -52,110 +63,105 @@ def win_matrix(games: DataFrame, a: str, b: str, score: str) -> DataFrame:
     return kept.select(F.explode(sides).alias("x")).select("x.*").groupBy("winner", "loser").agg(F.sum("wins").alias("wins"))
 
 
-#: Part of the way each round goes; more than a half may swing.
-STEP = 0.5
-
-
-def scale_local(winner: np.ndarray, loser: np.ndarray, wins: np.ndarray, n: int, prior: float = 0.2, rounds: int = 5000, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(strength, offence, defence) of items 0..n-1 from the cells of the win matrix."""
+def scale_local(winner: np.ndarray, loser: np.ndarray, wins: np.ndarray, n: int, prior: float = 0.1, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, int]:
+    """(offence, defence, sweeps made) of items 0..n-1 from the cells of the win matrix."""
     if not n:
-        return np.ones(0), np.ones(0), np.ones(0)
+        return np.ones(0), np.ones(0), 0
     items, virtual = np.arange(n), np.full(n, n)  # the last item is the virtual one
     i, j = np.concatenate([winner, items, virtual]), np.concatenate([loser, virtual, items])
     w = np.concatenate([wins, np.full(2 * n, prior / 2)])
-    s, o, d = np.ones(n + 1), np.ones(n + 1), np.ones(n + 1)
-    for _ in range(rounds):
-        v = w * np.sqrt(s[i] * s[j]) / (s[i] + s[j])
-        balanced = v * np.sqrt(s[j] / s[i])  # what remains is symmetric in expectation
-        sums = (np.bincount(i, balanced, n + 1) + np.bincount(j, balanced, n + 1)) / 2
-        most = sums.max() * 1.000001
-        pad = most - sums
-        o = np.bincount(i, v * np.sqrt(s[j]), n + 1) + pad * np.sqrt(s)
-        d = np.bincount(j, v / o[i], n + 1) + pad / o
-        # the padding slows an item down by sums / most
-        step = np.log(o / d) - np.log(s)
-        step -= step[:n].mean()
-        new = np.log(s) + STEP * np.clip(step * most / sums, -2, 2)
-        new -= new[:n].mean()
-        moved = np.abs(new - np.log(s))[:n].max()
-        s = np.exp(new)
-        if moved < tolerance:
-            break
-    return s[:n], o[:n], d[:n]
-
-
-def scale_joined(pairs: DataFrame, items: DataFrame, prior: float = 0.2, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
-    """The same by joins, for matrices too large for the driver: (item, strength, offence, defence).
-
-    A round sums the cells by item twice and writes one row an item; the driver
-    holds the virtual item and a few totals.
+    own = np.bincount(i, w, n + 1) + np.bincount(j, w, n + 1)
+    o, d, log_strength = np.ones(n + 1), np.ones(n + 1), np.zeros(n + 1)
+    for made in range(1, sweeps + 1):
+        o = np.bincount(i, w / d[j], n + 1) + own / d
+        d = np.bincount(j, w / o[i], n + 1) + own / o
+        new = np.log(o / d)
+        moved = np.ptp(new[:n] - log_strength[:n])  # a common factor does not count
+        log_strength = new
+        if moved <= tolerance:
+            level = np.exp(log_strength[:n].mean() / 2)  # scalings are unique up to one factor
+            return o[:n] / level, d[:n] * level, made
+    raise NotConverged(f"strengths still move by {moved:.3g} after {sweeps} sweeps")
+
+
+def scale_joined(cells: DataFrame, items: DataFrame, prior: float = 0.1, tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
+    """The same sweeps by joins, for matrices too large for the driver: (item, offence, defence, sweeps).
+
+    ``cells`` has (winner, loser, wins).  A half-sweep joins the cells with one
+    scaling and sums them by the other end, and its result, a row an item, is
+    written to the checkpoint folder; the driver holds the virtual item and a
+    few totals.
     """
-    v = cut_lineage(items.select("item").distinct().select("item", F.lit(1.0).alias("s"), F.lit(1.0).alias("o"), F.lit(1.0).alias("d")))
-    ghost = 1.0
-    for _ in range(rounds):
-        x = F.col("wins") * F.sqrt(F.col("si") * F.col("sj")) / (F.col("si") + F.col("sj"))
-        cells = pairs.join(v.select(F.col("item").alias("winner"), F.col("s").alias("si")), "winner").join(v.select(F.col("item").alias("loser"), F.col("s").alias("sj")), "loser").select("winner", "loser", "si", "sj", x.alias("x"))
-        balanced = F.col("x") * F.sqrt(F.col("sj") / F.col("si"))
-        ends = F.array(F.struct(F.col("winner").alias("item"), balanced.alias("b"), (F.col("x") * F.sqrt("sj")).alias("t")), F.struct(F.col("loser").alias("item"), balanced.alias("b"), F.lit(0.0).alias("t")))
-        sums = cells.select(F.explode(ends).alias("z")).groupBy("z.item").agg((F.sum("z.b") / 2).alias("sum"), F.sum("z.t").alias("t"))
-        g = F.lit(prior / 2) * F.sqrt(F.col("s") * ghost) / (F.col("s") + ghost)
-        mean = g * (F.sqrt(F.lit(ghost) / F.col("s")) + F.sqrt(F.col("s") / ghost)) / 2
-        state = cut_lineage(v.select("item", "s").join(sums, "item", "left").select("item", "s", g.alias("g"), (F.coalesce("sum", F.lit(0.0)) + mean).alias("sum"), F.coalesce("t", F.lit(0.0)).alias("t"), mean.alias("m")))
-        top, own, reach = state.agg(F.max("sum"), F.sum("m"), F.sum(F.col("g") * F.sqrt("s"))).first()
-        most = max(top, own) * 1.000001
-        og = reach + (most - own) * ghost**0.5
-        state = cut_lineage(state.select("item", "s", "g", "sum", (F.col("t") + F.col("g") * ghost**0.5 + (most - F.col("sum")) * F.sqrt("s")).alias("o")))
-        back = cells.join(state.select(F.col("item").alias("winner"), "o"), "winner").groupBy(F.col("loser").alias("item")).agg(F.sum(F.col("x") / F.col("o")).alias("t"))
-        d = F.coalesce("t", F.lit(0.0)) + F.col("g") / og + (most - F.col("sum")) / F.col("o")
-        state = cut_lineage(state.join(back, "item", "left").withColumn("d", d).withColumn("step", F.log(F.col("o") / d) - F.log("s")))
-        middle, dg = state.agg(F.avg("step"), F.sum(F.col("g") / F.col("o"))).first()
-        dg += (most - own) / og
-        clipped = lambda c: F.least(F.greatest(c, F.lit(-2.0)), F.lit(2.0))
-        state = state.withColumn("new", F.log("s") + STEP * clipped((F.col("step") - middle) * most / F.col("sum")))
-        level = state.agg(F.avg("new")).first()[0]
-        moved = state.agg(F.max(F.abs(F.col("new") - level - F.log("s")))).first()[0]
-        v = cut_lineage(state.select("item", F.exp(F.col("new") - level).alias("s"), "o", "d"))
-        ghost = float(np.exp(np.log(ghost) + STEP * np.clip((np.log(og / dg) - np.log(ghost) - middle) * most / own, -2, 2) - level))
-        if moved < tolerance:
-            break
-    return v.select("item", F.col("s").alias("strength"), F.col("o").alias("offence"), F.col("d").alias("defence"))
-
-
-def rank_items(games: DataFrame, items: DataFrame, item: str, a: str = "item_a", b: str = "item_b", score: str = "score", *, prior: float = 0.2, local_items: int = LOCAL_ITEMS, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
-    """(place INT, item, strength, offence, defence, games) for every row of ``items``.
-
-    Items without a game have the average strength.  Equal strengths are placed
-    by name.  Games with items that ``items`` does not list, null scores, and
-    games of an item with itself do not count.  Null items are left out; an
-    empty ``items`` gives no rows.  The matrix of up to ``local_items`` items is
-    solved on the driver, if it also has at most ``local_pairs`` cells (neither
-    grows with the number of games); larger ones are solved by joins, to the
-    tolerance of ``scale_joined``.
+    g = prior / 2
+    ends = cells.select(F.explode(F.array(F.struct(F.col("winner").alias("item"), "wins"), F.struct(F.col("loser").alias("item"), "wins"))).alias("x")).groupBy("x.item").agg(F.sum("x.wins").alias("own"))
+    state = items.select("item").distinct().join(ends, "item", "left").select("item", (F.coalesce("own", F.lit(0.0)) + prior).alias("own"), F.lit(1.0).alias("o"), F.lit(1.0).alias("d"), F.lit(0.0).alias("x"))
+    state = cut_lineage(state)
+    n = state.count()
+    ghost_own, ghost_o, ghost_d = prior * n, 1.0, 1.0
+
+    def half(by: str, other: str, scaling: str):
+        """Sums of the cells over one end, each divided by the scaling of the other end."""
+        there = state.select(F.col("item").alias(other), F.col(scaling).alias("__s"))
+        return cells.join(there, other).groupBy(F.col(by).alias("item")).agg(F.sum(F.col("wins") / F.col("__s")).alias("__t"))
+
+    moved = float("inf")
+    for made in range(1, sweeps + 1):
+        by_defence = state.agg(F.sum(1 / F.col("d"))).first()[0] or 0.0
+        o = F.coalesce("__t", F.lit(0.0)) + F.lit(g / ghost_d) + F.col("own") / F.col("d")
+        state = cut_lineage(state.join(half("winner", "loser", "d"), "item", "left").select("item", "own", o.alias("o"), "d", "x"))
+        ghost_o = g * by_defence + ghost_own / ghost_d
+        by_offence = state.agg(F.sum(1 / F.col("o"))).first()[0] or 0.0
+        d = F.coalesce("__t", F.lit(0.0)) + F.lit(g / ghost_o) + F.col("own") / F.col("o")
+        state = cut_lineage(state.join(half("loser", "winner", "o"), "item", "left").select("item", "own", "o", d.alias("d"), F.col("x").alias("before")).withColumn("x", F.log(F.col("o") / F.col("d"))))
+        ghost_d = g * by_offence + ghost_own / ghost_o
+        step = F.col("x") - F.col("before")
+        moved, mean = state.agg(F.coalesce(F.max(step) - F.min(step), F.lit(0.0)), F.avg("x")).first()
+        if moved <= tolerance:
+            level = float(np.exp((mean or 0.0) / 2))
+            return state.select("item", (F.col("o") / level).alias("offence"), (F.col("d") * level).alias("defence"), F.lit(made).alias("sweeps"))
+        state = state.drop("before")
+    raise NotConverged(f"strengths still move by {moved:.3g} after {sweeps} sweeps")
+
+
+def rank_items(
+    games: DataFrame, items: DataFrame, item: str, a: str = "item_a", b: str = "item_b", score: str = "score", *,
+    prior: float = 0.1, tolerance: float = TOLERANCE, sweeps: int = SWEEPS, local_items: int = LOCAL_ITEMS, local_cells: int = LOCAL_CELLS,
+) -> DataFrame:
+    """(place INT, item, strength, offence, defence, games, sweeps) for every row of ``items``.
+
+    Items without a game have the average strength.  Equal strengths (to nine
+    places) are placed by name.  Games with items that ``items`` does not list,
+    null scores, and games of an item with itself do not count.  Null items are
+    left out; an empty ``items`` gives no rows.  ``sweeps`` is how many it took
+    until no log strength moved against another by more than ``tolerance``; ``NotConverged`` is
+    raised where the limit of them does not do.  The matrix of up to
+    ``local_items`` items and ``local_cells`` cells (neither grows with the
+    number of games) is scaled on the driver, a larger one by joins: the same
+    sweeps on the same matrix with the same stop.
     """
     spark = games.sparkSession
     names = items.select(F.col(item).alias("item")).dropna().distinct()
+    kind = dict(names.dtypes)["item"]
     listed = names.select(F.col("item").alias(a)), names.select(F.col("item").alias(b))
-    pairs = win_matrix(games.select(a, b, score).join(listed[0], a, "left_semi").join(listed[1], b, "left_semi"), a, b, score)
+    cells = cut_lineage(win_matrix(games.select(a, b, score).join(listed[0], a, "left_semi").join(listed[1], b, "left_semi"), a, b, score))
     few = names.limit(local_items + 1).count()
-    pairs = cut_lineage(pairs)
-    if few <= local_items and pairs.limit(local_pairs + 1).count() <= local_pairs:
+    if few <= local_items and cells.limit(local_cells + 1).count() <= local_cells:
         order = sorted(r.item for r in names.collect())
-        at = {x: i for i, x in enumerate(order)}
-        cells = pairs.collect()
-        i, j = (np.array([at[getattr(r, side)] for r in cells], dtype=np.int64) for side in ("winner", "loser"))
-        wins = np.array([r.wins for r in cells], dtype=float)
-        s, o, d = scale_local(i, j, wins, few, prior)
-        played = np.bincount(i, wins, few) + np.bincount(j, wins, few) if len(wins) else np.zeros(few)
-        ranked = sorted(range(few), key=lambda k: (-round(s[k], 12), order[k]))
-        rows = [(p + 1, order[k], float(s[k]), float(o[k]), float(d[k]), float(played[k])) for p, k in enumerate(ranked)]
-        kind = dict(names.dtypes)["item"]
-        return spark.createDataFrame(rows, f"place int, `{item}` {kind}, strength double, offence double, defence double, games double")
-    scaled = scale_joined(pairs, names, prior)
-    played = pairs.groupBy(F.col("winner").alias("item")).agg(F.sum("wins").alias("x")).unionByName(pairs.groupBy(F.col("loser").alias("item")).agg(F.sum("wins").alias("x"))).groupBy("item").agg(F.sum("x").alias("games"))
-    placed = scaled.join(played, "item", "left").orderBy(F.round("strength", 12).desc(), "item")
-    numbered = placed.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0]))
-    schema = f"place int, `{item}` {dict(names.dtypes)['item']}, strength double, offence double, defence double, games double"
-    return spark.createDataFrame(numbered, schema).fillna(0.0, ["games"])
+        at = {x: k for k, x in enumerate(order)}
+        local = cells.toPandas()
+        i, j = (local[side].map(at).to_numpy(dtype=np.int64) for side in ("winner", "loser"))
+        wins = local["wins"].to_numpy(dtype=float)
+        o, d, made = scale_local(i, j, wins, few, prior, tolerance, sweeps)
+        played = np.bincount(i, wins, few) + np.bincount(j, wins, few) if few else np.zeros(0)
+        rows = [(order[k], float(o[k] / d[k]), float(o[k]), float(d[k]), float(played[k]), made) for k in range(few)]
+        scaled = spark.createDataFrame(rows, f"item {kind}, strength double, offence double, defence double, games double, sweeps int")
+    else:
+        ends = F.array(F.struct(F.col("winner").alias("item"), "wins"), F.struct(F.col("loser").alias("item"), "wins"))
+        played = cells.select(F.explode(ends).alias("x")).groupBy("x.item").agg(F.sum("x.wins").alias("games"))
+        solved = scale_joined(cells, names, prior, tolerance, sweeps).join(played, "item", "left")
+        scaled = solved.select("item", (F.col("offence") / F.col("defence")).alias("strength"), "offence", "defence", F.coalesce("games", F.lit(0.0)).alias("games"), "sweeps")
+    placed = range_running_sum(scaled.withColumn("__down", -F.round("strength", 9)).withColumn("__one", F.lit(1)), ["__down", "item"], "__one", name="place")
+    return placed.select(F.col("place").cast("int").alias("place"), F.col("item").alias(item), "strength", "offence", "defence", "games", "sweeps")
 
 
 #: How a result may be spelled, seen from White.

@@ -30,7 +30,12 @@ def p1_found(spark, d):
 
 
 def p1_strengths(spark, d):
-    return _ranking(spark, d).select("place", "stage", F.round("strength", 6).alias("strength"), F.round("offence", 6).alias("offence"), F.round("defence", 6).alias("defence"), "games")
+    return _ranking(spark, d).select("place", "stage", F.round("strength", 4).alias("strength"), F.round("offence", 3).alias("offence"), F.round("defence", 3).alias("defence"), "games")
+
+
+def p1_convergence(spark, d):
+    """How many sweeps the ranking took."""
+    return _ranking(spark, d).select("sweeps").distinct()
 
 
 def p1_win_matrix(spark, d):

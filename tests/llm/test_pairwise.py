@@ -4,23 +4,29 @@ import random
 import numpy as np
 import pytest
 
-from plyforge.llm.pairwise import rank_items, readable_games, scale_local, win_matrix
+from plyforge.llm.pairwise import NotConverged, rank_items, readable_games, scale_local, win_matrix
 
 GAME = "match_id bigint, game_index int, stage_a string, stage_b string, a_white boolean, result string, score double, recorded_at timestamp, strength string"
 
 
-def likelihood_order(names, games):
-    """Strengths by plain minorisation of the likelihood."""
-    w = {(a, b): 0.0 for a in names for b in names}
+def plain_sinkhorn(names, games, prior=0.1, sweeps=20000):
+    """Strengths by a dense Sinkhorn scaling of the smoothed win matrix, one cell after the other."""
+    n = len(names)
+    at = {x: i for i, x in enumerate(names)}
+    m = np.zeros((n + 1, n + 1))
     for a, b, s in games:
-        w[a, b] += s
-        w[b, a] += 1 - s
-    p = {n: 1.0 for n in names}
-    for _ in range(5000):
-        p = {a: sum(w[a, b] for b in names) / sum((w[a, b] + w[b, a]) / (p[a] + p[b]) for b in names if b != a) for a in names}
-        mean = np.exp(np.mean(np.log(list(p.values()))))
-        p = {a: x / mean for a, x in p.items()}
-    return p
+        m[at[a], at[b]] += s
+        m[at[b], at[a]] += 1 - s
+    m[:n, n] = m[n, :n] = prior / 2
+    m += np.diag(m.sum(0) + m.sum(1))
+    rows, columns = np.ones(n + 1), np.ones(n + 1)
+    for _ in range(sweeps):
+        rows = (m / columns).sum(1)
+        columns = (m.T / rows).sum(1)
+    scaled = m / np.outer(rows, columns)
+    assert np.allclose(scaled.sum(0), 1) and np.allclose(scaled.sum(1), 1)
+    s = (rows / columns)[:n]
+    return dict(zip(names, s / np.exp(np.log(s).mean())))
 
 
 def uneven_games(seed=4):
@@ -34,26 +40,48 @@ def uneven_games(seed=4):
     return names, games
 
 
-def test_scaling_solves_the_likelihood_of_uneven_games(spark):
+def test_strengths_are_those_of_a_plain_sinkhorn_scaling(spark):
     names, games = uneven_games()
-    want = likelihood_order(names, games)
+    want = plain_sinkhorn(names, games)
     df = spark.createDataFrame(games, "item_a string, item_b string, score double")
     items = spark.createDataFrame([(n, 1) for n in names], "stage string, games int")
-    got = rank_items(df, items, "stage", prior=1e-6).collect()
+    got = rank_items(df, items, "stage").collect()
     assert [r.stage for r in sorted(got, key=lambda r: r.place)] == sorted(names, key=lambda n: -want[n])
-    assert all(r.strength == pytest.approx(want[r.stage], rel=1e-3) for r in got)
-    assert sum(r.games for r in got) == 2 * len(games)
+    assert all(r.strength == pytest.approx(want[r.stage], rel=1e-7) and r.strength == pytest.approx(r.offence / r.defence) for r in got)
+    assert sum(r.games for r in got) == 2 * len(games) and all(r.sweeps > 1 for r in got)
+
+
+def test_true_strengths_come_out_however_uneven_the_schedule():
+    """Expected wins of known strengths are scaled to just these strengths."""
+    rng, n = np.random.default_rng(1), 12
+    true = np.exp(rng.normal(0, 1.5, n))
+    true /= np.exp(np.log(true).mean())
+    i, j = (x.ravel() for x in np.meshgrid(range(n), range(n)))
+    met = rng.choice([0, 20_000, 100_000, 900_000], n * n).reshape(n, n)
+    met = np.triu(met, 1)
+    met[np.arange(n - 1), np.arange(1, n)] += 10_000
+    met = met + met.T
+    wins = met[i, j] * true[i] / (true[i] + true[j])
+    o, d, _ = scale_local(i, j, wins, n)
+    assert np.allclose(o / d, true, rtol=0.02)
 
 
 def test_joins_give_the_same_ranking(spark):
     names, games = uneven_games(11)
     df = spark.createDataFrame(games, "item_a string, item_b string, score double").repartition(2)
-    items = spark.createDataFrame([(n,) for n in names], "stage string")
-    local = {r.stage: r.strength for r in rank_items(df, items, "stage").collect()}
-    from plyforge.llm import pairwise
+    items = spark.createDataFrame([(n,) for n in [*names, "unmet"]], "stage string")
+    local, joined = (rank_items(df, items, "stage", prior=5, tolerance=0.02, local_items=k).orderBy("place").collect() for k in (100, 0))
+    assert [(r.place, r.stage, r.games, r.sweeps) for r in local] == [(r.place, r.stage, r.games, r.sweeps) for r in joined]
+    assert all(a.strength == pytest.approx(b.strength, rel=1e-9) and a.offence == pytest.approx(b.offence, rel=1e-9) for a, b in zip(local, joined))
 
-    joined = pairwise.scale_joined(win_matrix(df, "item_a", "item_b", "score"), items.withColumnRenamed("stage", "item"), rounds=9).collect()
-    assert all(abs(np.log(r.strength / local[r.item])) < 0.05 for r in joined)
+
+def test_running_out_of_sweeps_is_an_error(spark):
+    names, games = uneven_games(11)
+    df = spark.createDataFrame(games, "item_a string, item_b string, score double")
+    items = spark.createDataFrame([(n,) for n in names], "stage string")
+    for k in (100, 0):
+        with pytest.raises(NotConverged):
+            rank_items(df, items, "stage", sweeps=2, local_items=k)
 
 
 def test_sweeps_unmet_items_and_ties_are_finite(spark):
@@ -64,7 +92,7 @@ def test_sweeps_unmet_items_and_ties_are_finite(spark):
     assert all(np.isfinite(r.strength) for r in got)
     assert rank_items(df.limit(0), items, "stage").count() == 4
     assert rank_items(df, items.limit(0), "stage").count() == 0
-    assert all(len(x) == 0 for x in scale_local(np.array([], int), np.array([], int), np.array([]), 0))
+    assert all(len(x) == 0 for x in scale_local(np.array([], int), np.array([], int), np.array([]), 0)[:2])
 
 
 def test_outcomes_are_read_once_a_game(spark):
