@@ -1,12 +1,18 @@
 """The best representative of each group of duplicate lines, by token-level consensus.
 
-Every row of a group is a sequence of tokens: its depth, nodes, time and score
-as field tokens, then the moves of its line.  Fields are columns by
-construction; the moves are lined up by progressive alignment.  Each column is
-put to a weighted vote, and the existing row closest to the winning tokens
-survives.  The row trusted most outweighs all others together; among these each
-ply of depth doubles a row's vote.  So the others decide where the most trusted
-row is silent.
+Every row of a group is a sequence of tokens: its depth, nodes, time and id as
+field tokens, then the moves of its line.  Fields are columns by construction;
+the moves are lined up by progressive alignment.  Each column is put to a vote,
+and the row closest to the winning tokens survives, where a column outweighs all
+later ones together.
+
+In the field columns a token is weighed by its own size, so that the greatest
+outvotes all others of the rows that agree with the earlier columns; the row
+closest in these columns is then the greatest by (depth, nodes, time, -id),
+which one aggregation finds.  As ids differ, nothing is left for later columns
+to decide about which row survives.  What the vote decides is the content: the
+moves of the line, where a row votes with the square of its depth, and the
+fields in which the survivor is silent.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plyforge.chess.board import Board, Illegal
-from plyforge.operators.skew import salted_lookup
 from plyforge.session import cut_lineage
 
 MAX_DEPTH = 245
@@ -237,9 +242,20 @@ def consensus(variants: DataFrame, *, block: int = 64) -> DataFrame:
     return alone.unionByName(merged.select("group_id", "part").mapInPandas(_votes, "group_id binary, consensus string"))
 
 
-#: Groups that hold more than this share of all rows (and this many rows) are voted on in pieces.
-LARGE_SHARE, LARGE_ROWS = 1e-4, 500
-_OUT = "line_id bigint, n_rows bigint, depth int, knodes int, cp int, mate int, fetched_at timestamp_ntz, consensus_line string, line string"
+#: Up to so many open groups (about 2 MB) are joined by broadcast, more by shuffle.
+FEW_GROUPS = 20_000
+
+
+def ballot(depth: Column) -> Column:
+    """The votes of a row: the square of its depth, and one without a possible depth."""
+    return F.when(depth.between(1, MAX_DEPTH), (depth * depth).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    key = F.unhex(F.md5(F.concat_ws(" ", "position", "first")))
+    rows = plain_lines(lines).select(key.alias("group_id"), "line_id", "line", "depth", "knodes", "cp", "mate", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "able")
+    trust = F.struct("depth", F.coalesce("knodes", F.lit(-1)).alias("knodes"), F.coalesce("fetched_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("line_id")).alias("neg"))
+    return rows.withColumn("votes", ballot(F.col("depth"))).withColumn("trust", F.when(F.col("able") & F.col("line_id").isNotNull(), trust))
 
 
 def best_lines(lines: DataFrame, *, block: int = 64) -> DataFrame:
@@ -247,138 +263,71 @@ def best_lines(lines: DataFrame, *, block: int = 64) -> DataFrame:
 
     Columns: line_id, n_rows of its group, depth, knodes, cp, mate and
     fetched_at of the survivor; ``consensus_line``, the moves voted by the rows
-    of the group; ``line``, the existing line closest to them (the heavier, then
-    the smaller text, if several are as close).
-
-    Only rows with a score and a possible depth may survive.  Trust orders them
-    by depth, knodes (missing is least), fetched_at (missing is least) and
-    smallest line_id.  Votes: the row trusted most has weight 1, each other row
-    0.49 / n_rows, halved for each ply of depth it is behind; a missing field or
-    line casts no vote.  A row's distance is the number of voted fields (depth,
-    knodes, time, score) it contradicts plus the edit distance of its line to
-    the voted one; silence contradicts nothing.  The closest row survives, and
-    of rows as close the one trusted more.  Groups of nothing but unable rows
-    are left out.  Extra columns are ignored; an empty table gives no rows.
-
-    Rows are gathered by group once, and voted on in Arrow batches.  Groups that
-    hold more than ``LARGE_SHARE`` of all rows, of which there are at most
-    ``1 / LARGE_SHARE``, are never gathered: theirs are the votes of
-    ``_vote_in_pieces``, which are the same but for the tree in which more than
-    ``block`` variants are aligned.
+    of the group; ``line``, the existing line closest to them by edit distance
+    (the heavier, then the smaller text, if several are as close).
+
+    Only rows with an id, a score and a possible depth may survive.  The first
+    columns order them by depth, knodes (missing is least), fetched_at (missing
+    is least) and smallest line_id.  All rows of the group vote on the moves,
+    each with the square of its depth, and with one if that is missing or
+    impossible; rows without a line cast no vote, and a group without any line
+    has a null one.  Groups of nothing but unable rows are left out.  Extra
+    columns are ignored; an empty table gives no rows.
+
+    Rows are summed by group and line, then by group, both in two phases, so a
+    group of any size sends a few rows a task.  A line with more than half of
+    the votes wins every column it is in and the gap wins the rest, so it is
+    the consensus as it stands; the lines of all other groups are aligned, at
+    most ``block`` in one task (see ``consensus``).  The result of a group
+    depends on its own rows only.
     """
-    key = F.unhex(F.md5(F.concat_ws(" ", "position", "first")))
-    rows = plain_lines(lines).select(key.alias("group_id"), "line_id", "line", "depth", "knodes", "cp", "mate", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "able")
-    rows = cut_lineage(rows)
-    sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    large = cut_lineage(sizes.filter(F.col("n") > max(LARGE_ROWS, int(total * LARGE_SHARE))).select("group_id"))
-    gathered = rows.join(F.broadcast(large), "group_id", "left_anti").groupBy("group_id").agg(F.collect_list(F.struct("line_id", "line", "depth", "knodes", "cp", "mate", "fetched_at", "able")).alias("rows"))
-    small = gathered.select("rows").mapInArrow(_vote_in_batches, _OUT)
-    if large.isEmpty():
-        return small
-    return small.unionByName(_vote_in_pieces(rows.join(F.broadcast(large), "group_id", "left_semi"), block))
-
-
-def _vote_in_batches(batches):
-    """Votes on whole groups: one row of arrays in, at most one survivor out."""
-    import pyarrow as pa
-
-    names = ["line_id", "n_rows", "depth", "knodes", "cp", "mate", "fetched_at", "consensus_line", "line"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.timestamp("us"), pa.string(), pa.string()]
-    for batch in batches:
-        lists = batch.column(0)
-        flat = lists.flatten()
-        offsets = lists.offsets.to_pylist()
-        base = offsets[0] if offsets else 0
-        fields = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
-        fields["fetched_at"] = fields["fetched_at"].cast(pa.int64())
-        columns = {n: c.to_pylist() for n, c in fields.items()}
-        out: list[list] = [[] for _ in names]
-        for start, end in zip(offsets, offsets[1:]):
-            won = _vote_on_group(columns, start - base, end - base)
-            if won:
-                at, consensus_line, line = won
-                for column, value in zip(out, (columns["line_id"][at], end - start, columns["depth"][at], columns["knodes"][at], columns["cp"][at], columns["mate"][at], columns["fetched_at"][at], consensus_line, line)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-
-def _vote_on_group(c: dict[str, list], start: int, end: int) -> tuple[int, str | None, str | None] | None:
-    """(survivor, voted line, closest line) of rows start..end; None if none may survive."""
-    early = -(1 << 62)
-    trust = {i: (c["depth"][i], -1 if c["knodes"][i] is None else c["knodes"][i], early if c["fetched_at"][i] is None else c["fetched_at"][i], -c["line_id"][i]) for i in range(start, end) if c["able"][i]}
-    if not trust:
-        return None
-    if end - start == 1:
-        return start, c["line"][start], c["line"][start]
-    top = max(trust, key=trust.get)
-    deepest, n = c["depth"][top], end - start
-    weight = {i: 1.0 if i == top else 0.49 / n * 2.0 ** min(0, max((c["depth"][i] or 0) - deepest, -60)) for i in range(start, end)}
-    score = {i: f"m{c['mate'][i]}" if c["mate"][i] is not None else None if c["cp"][i] is None else f"c{c['cp'][i]}" for i in range(start, end)}
-    against = dict.fromkeys(trust, 0)
-    for field in (c["depth"], c["knodes"], c["fetched_at"], score):
-        votes: dict = {}
-        for i, w in weight.items():
-            if field[i] is not None:
-                votes[field[i]] = votes.get(field[i], 0.0) + w
-        if len(votes) > 1:
-            won = max(votes, key=lambda t: (votes[t], str(t)))
-            for i in against:
-                against[i] += field[i] is not None and field[i] != won
-    lines: dict[str, float] = {}
-    for i, w in weight.items():
-        if c["line"][i] is not None:
-            lines[c["line"][i]] = lines.get(c["line"][i], 0.0) + w
-    voted = best = None
-    if lines:
-        voted = consensus_of(lines)
-        far = {t: token_distance(t.split(" "), voted.split(" ")) for t in lines}
-        best = min(lines, key=lambda t: (far[t], -lines[t], t))
-        for i in against:
-            against[i] += far.get(c["line"][i], 0)
-    return max(trust, key=lambda i: (-against[i], trust[i])), voted, best
-
-
-def consensus_of(variants: dict[str, float]) -> str:
-    """The voted tokens of a few weighted texts.
-
-    A text with more than half of all weight wins each column it has a token in,
-    and the gap wins all others, so then nothing needs to be aligned.
+    return _with_consensus(_keyed(lines), block).drop("group_id")
+
+
+def _with_consensus(rows: DataFrame, block: int) -> DataFrame:
+    kept = F.max(F.when(F.col("trust").isNotNull(), F.struct("trust", "line_id", "depth", "knodes", "cp", "mate", "fetched_at"))).alias("top")
+    by_line = cut_lineage(rows.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("votes").alias("votes"), kept))
+    said = F.when(F.col("line").isNotNull(), F.col("votes"))
+    best = F.max(F.when(F.col("line").isNotNull(), F.struct("votes", "line")))
+    heads = by_line.groupBy("group_id").agg(F.sum("n").alias("n_rows"), F.max("top").alias("top"), F.sum(said).alias("cast"), best.alias("best")).filter("top is not null")
+    names = ["group_id", "n_rows", *[F.col(f"top.{c}").alias(c) for c in ("line_id", "depth", "knodes", "cp", "mate", "fetched_at")]]
+    heads = cut_lineage(heads.select(*names, "cast", F.col("best.votes").alias("best_votes"), F.col("best.line").alias("best_line")))
+    closed = F.col("best_line").isNull() | (F.col("best_votes") * 2 > F.col("cast"))
+    columns = ["group_id", "line_id", "n_rows", "depth", "knodes", "cp", "mate", "fetched_at"]
+    plain = heads.filter(closed).select(*columns, F.col("best_line").alias("consensus_line"), F.col("best_line").alias("line"))
+    open_groups = heads.filter(~closed)
+    few = open_groups.limit(FEW_GROUPS + 1).count()
+    if not few:
+        return plain
+    wanted = open_groups.select("group_id")
+    ballots = by_line.filter("line is not null").join(F.broadcast(wanted) if few <= FEW_GROUPS else wanted, "group_id", "left_semi")
+    ballots = cut_lineage(ballots.select("group_id", F.col("line").alias("tokens"), F.col("votes").cast("double").alias("weight")))
+    voted = cut_lineage(consensus(ballots, block=block))
+    near = ballots.join(F.broadcast(voted) if few <= FEW_GROUPS else voted, "group_id").withColumn("far", _distance("tokens", "consensus"))
+    closest = near.groupBy("group_id").agg(F.min(F.struct("far", (-F.col("weight")).alias("w"), "tokens")).getField("tokens").alias("line"), F.first("consensus").alias("consensus_line"))
+    return plain.unionByName(open_groups.join(closest, "group_id").select(*columns, "consensus_line", "line"))
+
+
+def built_lines(lines: DataFrame, *, block: int = 64) -> DataFrame:
+    """``best_lines`` with the silent fields of each survivor filled by the vote of its group.
+
+    A survivor always has a depth and a score; knodes and fetched_at may be
+    missing.  Each row of the group votes for its value with the square of its
+    depth; the value with most votes wins, the greatest of equals.  ``filled``
+    names the fields that were filled, in the order knodes, fetched_at; a field
+    that no row of the group knows stays missing.
     """
-    heaviest = max(variants, key=lambda t: (variants[t], t))
-    if variants[heaviest] * 2 > sum(variants.values()):
-        return heaviest
-    order = sorted(variants, key=lambda t: (-variants[t], t))
-    return " ".join(vote(align([([{x: variants[t]} for x in t.split(" ")], variants[t]) for t in order])[0]))
-
-
-def _vote_in_pieces(rows: DataFrame, block: int) -> DataFrame:
-    """The votes of groups too large to gather: all sums and maxima are two-phase aggregations."""
-    score = F.when(F.col("mate").isNotNull(), F.concat(F.lit("m"), F.col("mate"))).otherwise(F.concat(F.lit("c"), F.col("cp")))
-    at = F.coalesce(F.col("fetched_at"), F.lit("0001-01-01").cast("timestamp_ntz"))
-    trust = F.struct("depth", F.coalesce("knodes", F.lit(-1)).alias("knodes"), at.alias("at"), (-F.col("line_id")).alias("neg"))
-    rows = rows.withColumn("trust", F.when(F.col("able"), trust)).withColumn("score", score).drop("able")
-    heads = rows.groupBy("group_id").agg(F.max("trust").alias("top"), F.count(F.lit(1)).alias("n_rows")).filter("top is not null")
-    # one row a large group, of which there are at most 1 / LARGE_SHARE
-    joined = rows.join(F.broadcast(heads), "group_id")
-    behind = F.greatest(F.coalesce(F.col("depth"), F.lit(0)) - F.col("top.depth"), F.lit(-60)).cast("double")
-    weight = F.when(F.coalesce(F.col("trust") == F.col("top"), F.lit(False)), 1.0).otherwise(F.lit(0.49) / F.col("n_rows") * F.pow(F.lit(2.0), F.least(behind, F.lit(0.0))))
-    joined = joined.withColumn("weight", weight).drop("top")
-
-    # the vote on the fields, which are columns by construction
-    fields = {"depth": F.col("depth").cast("string"), "knodes": F.col("knodes").cast("string"), "at": F.col("fetched_at").cast("string"), "score": F.col("score")}
-    ballots = joined.select("group_id", "weight", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("token")) for k, v in fields.items()])).alias("x")).filter("x.token is not null")
-    counted = ballots.groupBy("group_id", "x.field", "x.token").agg(F.sum("weight").alias("votes"))
-    won = counted.groupBy("group_id").agg(*[F.max(F.when(F.col("field") == k, F.struct("votes", "token"))).getField("token").alias(f"won_{k}") for k in fields])
-
-    # the vote on the moves, one ballot a distinct line
-    ballots = cut_lineage(joined.filter("line is not null").groupBy("group_id", F.col("line").alias("tokens")).agg(F.sum("weight").alias("weight")))
-    voted = consensus(ballots, block=block)
-    near = cut_lineage(ballots.join(F.broadcast(voted), "group_id").withColumn("far", _distance("tokens", "consensus")))
-    closest = near.groupBy("group_id").agg(F.min(F.struct("far", (-F.col("weight")).alias("w"), "tokens")).getField("tokens").alias("best_line"), F.first("consensus").alias("consensus_line"))
-    placed = joined.join(F.broadcast(won.join(closest, "group_id", "left")), "group_id")
-    placed = salted_lookup(placed, near.select("group_id", F.col("tokens").alias("line"), "far"), ["group_id", "line"], spread="line_id")
-    against = sum((F.coalesce((v != F.col(f"won_{k}")).cast("int"), F.lit(0)) for k, v in fields.items()), F.coalesce("far", F.lit(0)))
-    names = ["line_id", "n_rows", "depth", "knodes", "cp", "mate", "fetched_at", "consensus_line"]
-    best = placed.filter("trust is not null").groupBy("group_id").agg(F.max(F.struct((-against).alias("near"), "trust", *names, F.col("best_line").alias("line"))).alias("x"))
-    return best.select([f"x.{c}" for c in [*names, "line"]])
+    rows = cut_lineage(_keyed(lines))
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", zero, F.col("fetched_at"))
+    choices = F.array(F.struct(F.lit(True).alias("nodes"), F.col("knodes").cast("bigint").alias("token")), F.struct(F.lit(False).alias("nodes"), micros.alias("token")))
+    counted = rows.select("group_id", "votes", F.explode(choices).alias("x")).filter("x.token is not null").groupBy("group_id", "x.nodes", "x.token").agg(F.sum("votes").alias("votes"))
+    most = lambda of: F.max(F.when(of, F.struct("votes", "token"))).getField("token")
+    won = counted.groupBy("group_id").agg(most(F.col("nodes")).alias("won_nodes"), most(~F.col("nodes")).alias("won_time"))
+    best = _with_consensus(rows, block).join(won, "group_id", "left")
+    missing = lambda field, token: F.col(field).isNull() & F.col(token).isNotNull()
+    filled = F.array_compact(F.array(F.when(missing("knodes", "won_nodes"), F.lit("knodes")), F.when(missing("fetched_at", "won_time"), F.lit("fetched_at"))))
+    return best.select(
+        "line_id", "n_rows", "depth", F.coalesce("knodes", F.col("won_nodes").cast("int")).alias("knodes"), "cp", "mate",
+        F.coalesce("fetched_at", F.timestamp_add("MICROSECOND", F.col("won_time"), zero)).alias("fetched_at"), "consensus_line", "line", filled.alias("filled"),
+    )

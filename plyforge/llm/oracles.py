@@ -90,7 +90,7 @@ select distinct game_id from roots where root in (select root from torn)
 
 _BOARD = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '8', '........', 'g'), '7', '.......', 'g'), '6', '......', 'g'), '5', '.....', 'g'), '4', '....', 'g'), '3', '...', 'g'), '2', '..', 'g'), '1', '.', 'g'), '/', '')"
 
-_SURVIVORS = f"""
+_ROWS = f"""
 with f as (
   select *, string_split(regexp_replace(trim(fen), '\\s+', ' ', 'g'), ' ') p,
          case when trim(line) <> '' then replace(regexp_replace(lower(trim(line)), '\\s+', ' ', 'g'), '=', '') end l from engine_lines),
@@ -107,12 +107,22 @@ k as (
       ((turn = 'w' and ((x > 0 and substr(board, 24 + x, 1) = 'P') or (x < 7 and substr(board, 24 + x + 2, 1) = 'P'))) or
        (turn = 'b' and ((x > 0 and substr(board, 32 + x, 1) = 'p') or (x < 7 and substr(board, 32 + x + 2, 1) = 'p')))) then ep else '-' end square from h),
 r as (
-  select line_id, depth, count(*) over (partition by place, turn, rights, square, mv) n,
+  select *, count(*) over (partition by place, turn, rights, square, mv) n,
          (cp is not null or mate is not null) and depth between 1 and 245 able,
          row_number() over (partition by place, turn, rights, square, mv order by
            coalesce((cp is not null or mate is not null) and depth between 1 and 245, false) desc, depth desc nulls last, knodes desc nulls last, fetched_at desc nulls last, line_id) rk
   from k where mv is not null and mv <> '')
-select line_id from r where n > 1 and able and rk = 1
+"""
+
+_SURVIVORS = _ROWS + "select line_id from r where n > 1 and able and rk = 1"
+
+_FILLED = _ROWS + """,
+votes as (select place, turn, rights, square, mv, knodes, fetched_at, case when depth between 1 and 245 then cast(depth as bigint) * depth else 1 end v from r),
+nodes as (select * from (select place, turn, rights, square, mv, knodes won_nodes, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, knodes desc) o from votes where knodes is not null group by all) where o = 1),
+times as (select * from (select place, turn, rights, square, mv, fetched_at won_time, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, fetched_at desc) o from votes where fetched_at is not null group by all) where o = 1)
+select line_id, n n_rows, depth, coalesce(knodes, won_nodes) knodes, cp, mate, strftime(coalesce(fetched_at, won_time), '%Y-%m-%d %H:%M:%S') fetched_at,
+  concat_ws(' ', case when knodes is null and won_nodes is not null then 'knodes' end, case when fetched_at is null and won_time is not null then 'fetched_at' end) filled
+from r left join nodes using (place, turn, rights, square, mv) left join times using (place, turn, rights, square, mv) where able and rk = 1
 """
 
 _PHASE = "case when t in ('opening', 'openings', 'op') then 'opening' when t in ('middlegame', 'middle', 'mid', 'mg') then 'middlegame' when t in ('endgame', 'ending', 'end', 'eg') then 'endgame' end"
@@ -158,6 +168,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_puzzles_sample": _sample("puzzles", "puzzle_id", 1, 4, "puzzles"),
         "p3_found": _TORN,
         "p4_found": _SURVIVORS,
+        "p4_filled_fields": _FILLED,
         "p5_target_report": _TARGETS,
         "p5_found": f"select sample_name, category from ({_TARGETS}) where shortfall > 0",
         "p7_mix_by_characters": _MIX,

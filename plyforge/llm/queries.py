@@ -94,7 +94,12 @@ def p4_found(spark, d):
 
 
 def p4_best_lines(spark, d):
-    return consensus.best_lines(_table(spark, d, "engine_lines"))
+    return consensus.built_lines(_table(spark, d, "engine_lines")).withColumn("filled", F.array_join("filled", " "))
+
+
+def p4_filled_fields(spark, d):
+    """The fields of the survivors after the vote on those that were silent."""
+    return p4_best_lines(spark, d).select("line_id", "n_rows", "depth", "knodes", "cp", "mate", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"), "filled")
 
 
 # ---- 5: target shares ------------------------------------------------------------

@@ -51,14 +51,58 @@ def test_survivors_follow_the_order_of_trust(spark):
     assert C.best_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_large_groups_are_voted_on_in_pieces_with_the_same_result(spark, monkeypatch):
-    rows = rows_of(2, 1500, FENS, hot=A + " -")
+def voted(rows):
+    """(consensus, closest line) of a group's rows, by alignment of the distinct lines, heaviest first."""
+    ballots = Counter()
+    for r in rows:
+        line = (r[2] or "").lower().strip()
+        if line:
+            ballots[line] += r[4] ** 2 if r[4] and 1 <= r[4] <= 245 else 1
+    if not ballots:
+        return None, None
+    order = sorted(ballots, key=lambda t: (-ballots[t], t))
+    won = C.vote(C.align([([{x: float(ballots[t])} for x in t.split()], float(ballots[t])) for t in order])[0])
+    return " ".join(won), min(ballots, key=lambda t: (C.token_distance(t.split(), won), -ballots[t], t))
+
+
+def test_lines_follow_the_vote_in_groups_of_any_size(spark, monkeypatch):
+    rows = rows_of(2, 1500, FENS[:1] + ["8/6kp/8/8/1R6/6K1/3r3p/8 b - -"], hot=A + " -")
+    groups = defaultdict(list)
+    for r in rows:
+        first = (r[3] or "").lower().strip() or (r[2] or "").split(" ")[0]
+        if first:
+            groups[r[1], first].append(r)
+    owner = {r[0]: k for k, rs in groups.items() for r in rs}
     df = spark.createDataFrame(rows, SCHEMA)
     whole = sorted(C.best_lines(df).collect())
-    monkeypatch.setattr(C, "LARGE_ROWS", 20)
-    pieces = sorted(C.best_lines(df).collect())
-    assert {r.line_id: r.n_rows for r in pieces} == brute(rows)
-    assert [(r.line_id, r.consensus_line, r.line, r.cp) for r in whole] == [(r.line_id, r.consensus_line, r.line, r.cp) for r in pieces]
+    assert {r.line_id: r.n_rows for r in whole} == brute(rows) and any(r.n_rows > 300 for r in whole)
+    assert {r.line_id: (r.consensus_line, r.line) for r in whole} == {r.line_id: voted(groups[owner[r.line_id]]) for r in whole}
+    # neither other rows nor the way of joining change a group's result
+    monkeypatch.setattr(C, "FEW_GROUPS", 0)
+    more = [(10_000 + i, f"{'8/' * 7}k6{chr(75)} w - - {i}", "a1a2 b1b2", "a1a2", 9, 1, 5, None, None, "x", 1.0) for i in range(300)]
+    again = [r for r in sorted(C.best_lines(spark.createDataFrame(rows + more, SCHEMA).repartition(5)).collect()) if r.line_id < 10_000]
+    assert whole == again
+
+
+def test_the_vote_and_not_the_survivor_gives_the_line(spark):
+    fen, day = "8/6kp/8/8/1R6/6K1/3r3p/8 b - -", dt.datetime(2025, 1, 1)
+    rows = [(1, fen, "g7f6 a1a2", "g7f6", 30, 9, 5, None, day)] + [(i, fen, "g7f6 b4b6 f6e5", "g7f6", 29, 7, 5, None, day) for i in (2, 3)]
+    r = C.best_lines(spark.createDataFrame([(*x, "p", 1.0) for x in rows], SCHEMA)).collect()
+    assert [(x.line_id, x.consensus_line, x.line) for x in r] == [(1, "g7f6 b4b6 f6e5", "g7f6 b4b6 f6e5")]
+
+
+def test_silent_fields_are_filled_by_the_vote(spark):
+    fen, d1, d2 = "8/6kp/8/8/1R6/6K1/3r3p/8 b - -", dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)
+    rows = [
+        (1, fen, None, "g7f6", 40, None, 5, None, None), (2, fen, None, "g7f6", 30, 7, 5, None, d1), (3, fen, None, "g7f6", 30, 8, 5, None, d2), (4, fen, None, "g7f6", None, 8, None, None, d2),
+        (5, fen, None, "h7h6", 40, 3, None, 2, d1), (6, fen, None, "h7h5", 9, None, 1, None, None), (7, fen, None, "g7g6", None, 3, 1, None, None),
+    ]
+    got = {r.line_id: r for r in C.built_lines(spark.createDataFrame([(*x, "p", 1.0) for x in rows], SCHEMA)).collect()}
+    assert set(got) == {1, 5, 6}
+    assert (got[1].knodes, got[1].fetched_at, got[1].filled) == (8, d2, ["knodes", "fetched_at"])
+    assert (got[5].knodes, got[5].mate, got[5].cp, got[5].filled) == (3, 2, None, [])
+    assert (got[6].knodes, got[6].fetched_at, got[6].filled) == (None, None, [])
+    assert C.built_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_many_variants_are_aligned_as_a_tree(spark):
@@ -85,8 +129,8 @@ def test_votes_where_the_most_trusted_row_is_silent(spark):
 
 
 def test_alignment_and_votes():
-    assert C.consensus_of({"a b c": 1.0, "a c": 0.9, "a b c d": 0.8}) == "a b c"
-    assert C.consensus_of({"a b": 3.0, "x y": 1.0}) == "a b"
+    texts = {"a b c": 1.0, "a c": 0.9, "a b c d": 0.8}
+    assert C.vote(C.align([([{x: w} for x in t.split()], w) for t, w in texts.items()])[0]) == ["a", "b", "c"]
     profile, weight = C.align([([{"a": 1.0}, {"b": 1.0}], 1.0), ([{"b": 1.0}], 1.0), ([{"a": 1.0}, {"c": 1.0}, {"b": 1.0}], 1.0)])
     assert weight == 3.0 and C.vote(profile) == ["a", "b"]
     assert C.token_distance(["a", "b"], ["b"]) == 1 and C.token_distance([], ["x"]) == 1
