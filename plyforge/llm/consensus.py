@@ -58,22 +58,25 @@ def _squeezed(text: Column) -> Column:
     return F.when(plain.contains("  ") | plain.rlike("[\\t\\r\\n]"), F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), "^ | $", "")).otherwise(plain)
 
 
-def position_key(fen: Column) -> Column:
-    """The first four FEN fields in one spelling.
+def with_position(df: DataFrame, fen: str = "fen", name: str = "position") -> DataFrame:
+    """Adds the first four FEN fields in one spelling.
 
     Blanks are squeezed, castling letters put in the order KQkq, and the
     en-passant square kept only if a capture there is legal.  Missing fields
-    count as ``-``; null and empty texts give null.
+    count as ``-``; null and empty texts give null.  Fields are cut once and
+    then used by name; written as one nested expression they would be cut anew
+    for each use.
     """
-    text = _squeezed(fen)
-    part = lambda i: F.split_part(text, F.lit(" "), F.lit(i))
-    given = part(3)
-    rights = F.concat(*[F.when(given.contains(c), c).otherwise("") for c in "KQkq"])
-    rights = F.when(given.isin("-", "KQkq"), given).when(rights == "", "-").otherwise(rights)
-    ep = F.lower(part(4))
-    there = ~ep.isin("-", "") & ep.rlike("^[a-h][36]$")
-    capture = _can_capture(F.when(there, F.concat_ws(" ", part(1), part(2), F.lit("-"), ep)))
-    return F.when(F.length(text) > 0, F.concat_ws(" ", part(1), F.lower(part(2)), rights, F.when(there & capture, ep).otherwise("-")))
+    part = lambda i: F.coalesce(F.get("__p", F.lit(i)), F.lit(""))
+    cut = df.withColumn("__t", _squeezed(F.col(fen))).withColumn("__p", F.split("__t", " ", 5))
+    cut = cut.withColumn("__board", part(0)).withColumn("__turn", F.lower(part(1))).withColumn("__given", part(2)).withColumn("__ep", F.lower(part(3)))
+    rights = F.concat(*[F.when(F.contains("__given", F.lit(c)), c).otherwise("") for c in "KQkq"])
+    cut = cut.withColumn("__rights", F.when(F.col("__given").isin("-", "KQkq"), F.col("__given")).otherwise(rights))
+    there = F.col("__ep").isin([f + r for f in "abcdefgh" for r in "36"])
+    cut = cut.withColumn("__can", _can_capture(F.when(there, F.concat_ws(" ", "__board", "__turn", F.lit("-"), "__ep"))))
+    rights = F.when(F.col("__rights") == "", "-").otherwise(F.col("__rights"))
+    whole = F.when(F.length("__t") > 0, F.concat_ws(" ", "__board", "__turn", rights, F.when(F.col("__can"), F.col("__ep")).otherwise("-")))
+    return cut.withColumn(name, whole).drop("__t", "__p", "__board", "__turn", "__given", "__ep", "__rights", "__can")
 
 
 def move_key(move: Column) -> Column:
@@ -87,11 +90,11 @@ def castling_key(move: Column, position: Column) -> Column:
     A castling right says that king and rook stand at home, so no other piece
     can make that move.
     """
-    rights = F.split_part(position, F.lit(" "), F.lit(3))
-    out = move
+    castles = F.lit(None).cast("string")
     for taken, step, right, turn in (("e1h1", "e1g1", "K", "w"), ("e1a1", "e1c1", "Q", "w"), ("e8h8", "e8g8", "k", "b"), ("e8a8", "e8c8", "q", "b")):
-        out = F.when((move == taken) & rights.contains(right) & (F.split_part(position, F.lit(" "), F.lit(2)) == turn), step).otherwise(out)
-    return out
+        able = position.rlike(f"^\\S+ {turn} [A-Za-z]*{right}")
+        castles = F.when((move == taken) & able, step).otherwise(castles)
+    return F.when(move.isin("e1h1", "e1a1", "e8h8", "e8a8"), F.coalesce(castles, move)).otherwise(move)
 
 
 def plain_lines(lines: DataFrame) -> DataFrame:
@@ -101,11 +104,10 @@ def plain_lines(lines: DataFrame) -> DataFrame:
     position or first move belong to no group and are left out.  ``able`` says
     whether a row may survive: it has a score and a depth of 1 to 245.
     """
-    text = F.nullif(F.translate(F.lower(_squeezed(F.col("line"))), "=", ""), F.lit(""))
-    rows = lines.select(
-        "line_id", position_key(F.col("fen")).alias("position"), F.coalesce(move_key(F.col("move")), F.split_part(text, F.lit(" "), F.lit(1))).alias("first"),
-        text.alias("line"), "depth", "knodes", "cp", "mate", "fetched_at",
-    ).filter("position is not null and first is not null")
+    rows = lines.select("line_id", "fen", "line", "move", "depth", "knodes", "cp", "mate", "fetched_at")
+    rows = rows.withColumn("line", F.nullif(F.translate(F.lower(_squeezed(F.col("line"))), "=", ""), F.lit("")))
+    rows = rows.withColumn("first", F.coalesce(move_key(F.col("move")), F.split_part("line", F.lit(" "), F.lit(1))))
+    rows = with_position(rows).filter("position is not null and first is not null").drop("fen", "move")
     rows = rows.withColumn("first", castling_key(F.col("first"), F.col("position")))
     return rows.withColumn("able", F.coalesce((F.col("cp").isNotNull() | F.col("mate").isNotNull()) & F.col("depth").between(1, MAX_DEPTH), F.lit(False)))
 

@@ -118,8 +118,8 @@ _SURVIVORS = _ROWS + "select line_id from r where n > 1 and able and rk = 1"
 
 _FILLED = _ROWS + """,
 votes as (select place, turn, rights, square, mv, knodes, fetched_at, case when depth between 1 and 245 then cast(depth as bigint) * depth else 1 end v from r),
-nodes as (select * from (select place, turn, rights, square, mv, knodes won_nodes, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, knodes desc) o from votes where knodes is not null group by all) where o = 1),
-times as (select * from (select place, turn, rights, square, mv, fetched_at won_time, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, fetched_at desc) o from votes where fetched_at is not null group by all) where o = 1)
+nodes as (select * from (select place, turn, rights, square, mv, knodes won_nodes, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, knodes desc) o from votes where knodes is not null group by place, turn, rights, square, mv, knodes) where o = 1),
+times as (select * from (select place, turn, rights, square, mv, fetched_at won_time, row_number() over (partition by place, turn, rights, square, mv order by sum(v) desc, fetched_at desc) o from votes where fetched_at is not null group by place, turn, rights, square, mv, fetched_at) where o = 1)
 select line_id, n n_rows, depth, coalesce(knodes, won_nodes) knodes, cp, mate, strftime(coalesce(fetched_at, won_time), '%Y-%m-%d %H:%M:%S') fetched_at,
   concat_ws(' ', case when knodes is null and won_nodes is not null then 'knodes' end, case when fetched_at is null and won_time is not null then 'fetched_at' end) filled
 from r left join nodes using (place, turn, rights, square, mv) left join times using (place, turn, rights, square, mv) where able and rk = 1

@@ -145,7 +145,7 @@ def test_positions_and_moves_in_one_spelling(spark):
         "8/8/8/K2pP2r/8/8/8/7k w - d6": "8/8/8/K2pP2r/8/8/8/7k w - -",  # pinned
         "": None,
     }
-    rows = spark.createDataFrame(list(cases.items()), "fen string, want string").withColumn("got", C.position_key(F.col("fen"))).collect()
+    rows = spark.createDataFrame(list(cases.items()), "fen string, want string").transform(lambda df: C.with_position(df, name="got")).collect()
     assert [r.got for r in rows] == [r.want for r in rows]
     moves = spark.createDataFrame([("E2E4 ",), ("a7a8=Q",), ("a7a8q",), ("",), (None,)], "m string").select(C.move_key(F.col("m")).alias("x")).collect()
     assert [r.x for r in moves] == ["e2e4", "a7a8q", "a7a8q", None, None]
