@@ -7,27 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Hot keys looked for: so many times the shuffle partitions, and never more than the second figure (their list is broadcast, 16 bytes each).
+KEYS_PER_PARTITION, MOST_KEYS = 4, 20_000
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], *, hot_share: float = 0.01) -> DataFrame:
-    """The keys that hold more than ``hot_share`` of the keyed rows; at most ``1 / hot_share`` rows."""
-    counted = rows.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counted.agg(F.sum("__n").alias("__all"))  # one row
-    return counted.crossJoin(F.broadcast(total)).filter((F.col("__n") > F.col("__all") * hot_share) & (F.col("__n") > 1000)).select(*keys, F.lit(True).alias("__hot"))
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], *, least: int = 1000) -> DataFrame:
+    """(__hot, __salts): hashes of the keys that hold more rows than a part, and the parts to cut them into.
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left", salts: int = 16, hot: DataFrame | None = None, spread: str | None = None) -> DataFrame:
+    A part is a quarter of what a shuffle partition holds on average, ``least``
+    rows at the smallest, so it follows the rows and the partitions.  The keys
+    are found by a sketch of bounded size in one pass, without a shuffle of the
+    rows; a key it overrates is cut for nothing, which changes no result.  Rows
+    with a null key do not count.
+    """
+    parts = KEYS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = min(parts, MOST_KEYS)
+    sketch = rows.select(*keys).dropna().select(F.xxhash64(*keys).alias("__hot")).agg(F.expr(f"approx_top_k(__hot, {k}, {16 * k})").alias("__top"), F.count(F.lit(1)).alias("__n"))
+    part = F.greatest(F.col("__n") / parts, F.lit(float(least)))
+    found = sketch.select(F.explode("__top").alias("__x"), part.alias("__part"))
+    return found.filter(F.col("__x.count") > F.col("__part")).select(F.col("__x.item").alias("__hot"), F.ceil(F.col("__x.count") / F.col("__part")).cast("int").alias("__salts"))
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], *, how: str = "left", spread: str | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row a key.
 
-    Hot keys (see ``hot_keys``; given, or found here) are few by definition, so
-    their list is small enough to broadcast at any size.  Rows of hot keys are
-    spread over ``salts`` join keys, by ``spread`` or at random, and the table's
-    rows of hot keys are repeated as often; all others join once.  Null keys
-    find nothing, as in a plain join.
+    Hot keys (see ``hot_keys``) are looked for first; they are few by
+    definition, so their list may be broadcast at any size.  Rows of a hot key
+    are spread over its salts, by ``spread`` or at random, and the table's row
+    of that key is repeated as often; all others join once.  Where no key is
+    hot this is the plain join.  Null keys find nothing, as in a plain join.
+    ``rows`` are read once to find hot keys and once to be joined, so give a
+    table or something written out.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys) if hot is None else hot)
-    spread_by = F.pmod(F.xxhash64(spread), F.lit(salts)) if spread else F.floor(F.rand(7) * salts)
-    left = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), spread_by.cast("int")).otherwise(0)).drop("__hot")
-    repeated = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    right = table.join(hot, keys, "left").withColumn("__salt", repeated).drop("__hot")
+    found = hot_keys(rows, keys).collect()
+    if not found:
+        return rows.join(table, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, "__hot bigint, __salts int"))
+    spread_by = F.xxhash64(spread) if spread else F.floor(F.rand(7) * 1e9).cast("bigint")
+    salt = F.when(F.col("__salts").isNotNull(), F.pmod(spread_by, F.col("__salts")).cast("int")).otherwise(0)
+    left = rows.withColumn("__hot", F.xxhash64(*keys)).join(hot, "__hot", "left").withColumn("__salt", salt).drop("__hot", "__salts")
+    repeated = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    right = table.withColumn("__hot", F.xxhash64(*keys)).join(hot, "__hot", "left").withColumn("__salt", repeated).drop("__hot", "__salts")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
