@@ -71,16 +71,19 @@ def _sample(table: str, key: str, num: int, den: int, salt: str) -> str:
 
 _SPLIT = "case when lower(trim(split)) in ('train', 'training', 'trn', 'tr') then 'train' when lower(trim(split)) in ('val', 'valid', 'validation', 'dev') then 'val' when lower(trim(split)) in ('test', 'testing', 'tst', 'te') then 'test' end"
 
-_TORN = f"""
+_REACH = """
 with recursive ids as (
-  select game_id, nullif(regexp_extract(trim(site), '^(?:[hH][tT][tT][pP][sS]?://)?(?:[wW]{{3}}[.])?[a-zA-Z0-9.-]+[.][a-zA-Z]+/(?:[gG][aA][mM][eE]/)?([0-9A-Za-z]{{8}})(?:[^0-9A-Za-z]|$)', 1), '') code,
+  select game_id, nullif(regexp_extract(trim(site), '^(?:[hH][tT][tT][pP][sS]?://)?(?:[wW]{3}[.])?[a-zA-Z0-9.-]+[.][a-zA-Z]+/(?:[gG][aA][mM][eE]/)?([0-9A-Za-z]{8})(?:[^0-9A-Za-z]|$)', 1), '') code,
          lower(regexp_replace(trim(white_name), '\\s+', ' ', 'g')) w, lower(regexp_replace(trim(black_name), '\\s+', ' ', 'g')) b,
          utc_date d, regexp_replace(trim(uci), '\\s+', ' ', 'g') m from games),
 edges as (
   select distinct x.game_id a, y.game_id b from ids x join ids y on x.code = y.code and x.game_id <> y.game_id
   union select distinct x.game_id, y.game_id from ids x join ids y on x.w = y.w and x.b = y.b and x.d = y.d and x.m = y.m and x.game_id <> y.game_id and (x.code is null or y.code is null)),
 reach(a, b) as (
-  select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+  select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a)
+"""
+
+_TORN = _REACH + f""",
 recs as (
   select distinct game_id, {_SPLIT} s from (select game_id, split from label_rows union all select game_id, split from puzzles) where game_id is not null and {_SPLIT} is not null),
 roots as (select game_id, s, coalesce((select min(b) from reach where a = game_id), game_id) root from recs),
@@ -88,6 +91,25 @@ torn as (select root from roots group by root having count(distinct s) > 1)
 select distinct game_id from roots where root in (select root from torn)
 """
 
+_SPLITS = _REACH + """,
+tied as (select a game_id, least(a, min(b)) root from reach group by a),
+recs as (
+  select 'label' kind, cast(label_id as varchar) record, game_id from label_rows
+  union all select 'puzzle', puzzle_id, game_id from puzzles),
+told as (select kind, record, min(game_id) told from recs where kind = 'puzzle' and game_id is not null group by all),
+named as (
+  select recs.kind, recs.record, recs.game_id, coalesce(tied.root, recs.game_id, told) root
+  from (select recs.*, told, coalesce(game_id, told) id from recs left join told using (kind, record)) recs left join tied on tied.game_id = id
+  where recs.game_id is not null or recs.record is not null),
+units as (select *, coalesce(cast(root as varchar), kind || ':' || record) unit from named),
+sizes as (select unit, count(*) size, cast(floor(log2(count(*))) as integer) band from units group by 1),
+placed as (select *, row_number() over (order by band desc, md5('deal1:' || unit), unit) i from sizes),
+dealt as (
+  select *, case when (i + 5) // 10 > (i + 4) // 10 then 'test'
+                 when (i - (i + 5) // 10 + 4) // 9 > (i - (i + 5) // 10 - 1 + 4) // 9 then 'val' else 'train' end split from placed)
+select kind, record, game_id, root, size, band, split from units join dealt using (unit)
+"""
+
 _BOARD = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '8', '........', 'g'), '7', '.......', 'g'), '6', '......', 'g'), '5', '.....', 'g'), '4', '....', 'g'), '3', '...', 'g'), '2', '..', 'g'), '1', '.', 'g'), '/', '')"
 
 _ROWS = f"""
@@ -167,6 +189,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_games_sample": _sample("games", "game_id", 1, 10, "games"),
         "p2_puzzles_sample": _sample("puzzles", "puzzle_id", 1, 4, "puzzles"),
         "p3_found": _TORN,
+        "p3_roots_by_batches": _REACH + "select a game_id, least(a, min(b)) root from reach group by a",
+        "p3_splits": _SPLITS,
+        "p3_split_report": f"select split, count(distinct root) games, count(distinct game_id) ids, count(*) records, count(*) filter (root is null) no_game from ({_SPLITS}) group by split",
         "p4_found": _SURVIVORS,
         "p4_filled_fields": _FILLED,
         "p5_target_report": _TARGETS,

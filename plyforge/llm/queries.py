@@ -80,6 +80,24 @@ def p3_forest(spark, d):
     return _roots(spark, d)[0]
 
 
+def p3_roots_by_batches(spark, d):
+    """Roots of all games from a forest of the first batches, saved, read back and extended by the later ones.
+
+    A game delivered again is part of the later edges, tied to the ids it was tied to before.
+    """
+    from uuid import uuid4
+
+    from plyforge.session import ensure_checkpoint_dir
+
+    games = _table(spark, d, "games")
+    early = F.coalesce(F.col("batch_no") <= 3, F.lit(False))
+    first, _ = spanning_forest.spanning_forest(spanning_forest.game_edges(games.filter(early)))
+    path = f"{ensure_checkpoint_dir(spark)}/forest-{uuid4().hex}"
+    spanning_forest.save_forest(first, path)
+    _, roots = spanning_forest.extend_forest(spanning_forest.load_forest(spark, path), spanning_forest.game_edges(games))
+    return roots.select(F.col("id").alias("game_id"), "root")
+
+
 def p3_split_report(spark, d):
     """Games, ids and records of each split, and how many of the records have no game."""
     rows = p3_splits(spark, d)

@@ -31,14 +31,6 @@ def star_edges(df: DataFrame, id_col: str, key: str, centre: Column | None = Non
     return salted_lookup(ids.select("__key", "v").distinct(), middle, ["__key"], how="inner", spread="v").filter("u <> v").select("u", "v").distinct()
 
 
-#: Up to so many vertices, rows of one key are too few to need salting.
-FEW_VERTICES = 500_000
-
-
-def _lookup(few: bool, rows: DataFrame, table: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    return rows.join(table, keys, "left") if few else salted_lookup(rows, table, keys, spread=spread)
-
-
 def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(forest, roots) of an undirected graph given by its edges (u, v).
 
@@ -47,6 +39,8 @@ def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFram
     round at least halves the number of components with outgoing edges.  The
     result is written to the checkpoint folder after each round, so a lost
     executor costs one round.  Self-loops and rows with a null are ignored.
+    ``max_rounds`` halvings are enough for any number of ids a table can hold;
+    running out of them is an error and drops nothing.
     """
     spark = edges.sparkSession
     clean = edges.select("u", "v").dropna().filter("u <> v")
@@ -55,37 +49,58 @@ def spanning_forest(edges: DataFrame, *, max_rounds: int = 40) -> tuple[DataFram
     member = live.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("root", F.col("id"))
     forest = spark.createDataFrame([], f"u {kind}, v {kind}, round int")
     number = 0
-    few = member.count() <= FEW_VERTICES
     # a, b: the components of u, v
     while not live.isEmpty():
         number += 1
         if number > max_rounds:
             raise RuntimeError("the forest did not close")
         both = live.select("a", "b", "u", "v").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "u", "v"))
-        # the order of edges by their own ends is total, so picks close no cycle but pairs that pick each other
-        pick = cut_lineage(both.groupBy("a").agg(F.min(F.struct("u", "v", "b")).alias("x")).select("a", "x.*"))
+        # edges have one total order, so picks close no cycle but pairs that pick each other; a hashed one keeps chains of picks short
+        pick = cut_lineage(both.groupBy("a").agg(F.min(F.struct(F.xxhash64("u", "v").alias("h"), "u", "v", "b")).alias("x")).select("a", "x.u", "x.v", "x.b"))
         forest = forest.unionByName(pick.select("u", "v").distinct().withColumn("round", F.lit(number)))
         parent = pick.select(F.col("a").alias("id"), F.col("b").alias("up"))
-        mutual = parent.alias("p").join(parent.select(F.col("id").alias("up"), F.col("up").alias("back")), "up", "left")
+        mutual = salted_lookup(parent, parent.select(F.col("id").alias("up"), F.col("up").alias("back")), ["up"], spread="id")
         parent = cut_lineage(mutual.select("id", F.when((F.col("back") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up")))
         while True:  # pointer doubling: chains halve each time
-            grand = _lookup(few, parent, parent.select(F.col("id").alias("up"), F.col("up").alias("top")), ["up"], spread="id")
-            doubled = cut_lineage(grand.select("id", F.coalesce("top", "up").alias("new"), "up"))
-            moved = not doubled.filter("new <> up").isEmpty()
-            parent = doubled.select("id", F.col("new").alias("up"))
-            if not moved:
+            grand = salted_lookup(parent, parent.select(F.col("id").alias("up"), F.col("up").alias("top")), ["up"], spread="id")
+            doubled = cut_lineage(grand.select("id", "top", (F.col("top") != F.col("up")).alias("moved")))
+            parent = doubled.select("id", F.col("top").alias("up"))
+            if doubled.filter("moved").isEmpty():
                 break
         step = parent.select(F.col("id").alias("root"), F.col("up").alias("to"))
-        member = cut_lineage(_lookup(few, member, step, ["root"], spread="id").select("id", F.coalesce("to", "root").alias("root")))
-        at_a = _lookup(few, live, parent.select(F.col("id").alias("a"), F.col("up").alias("to")), ["a"], spread="v").select("u", "v", F.coalesce("to", "a").alias("a"), "b")
-        at_b = _lookup(few, at_a, parent.select(F.col("id").alias("b"), F.col("up").alias("to")), ["b"], spread="u").select("u", "v", "a", F.coalesce("to", "b").alias("b"))
-        # parallel edges of two components: only the smallest can ever be picked
-        live = cut_lineage(at_b.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct("u", "v")).alias("x")).select("x.u", "x.v", "a", "b"))
+        member = cut_lineage(salted_lookup(member, step, ["root"], spread="id").select("id", F.coalesce("to", "root").alias("root")))
+        # both ends in one lookup: an edge has two rows, put together again by its own key
+        ends = live.select("u", "v", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("a").alias("at")), F.struct(F.lit(False).alias("first"), F.col("b").alias("at")))).alias("x")).select("u", "v", "x.first", "x.at")
+        found = salted_lookup(ends, parent.select(F.col("id").alias("at"), F.col("up").alias("to")), ["at"], spread="v")
+        moved = found.groupBy("u", "v").agg(F.max(F.when(F.col("first"), F.col("to"))).alias("a"), F.max(F.when(~F.col("first"), F.col("to"))).alias("b")).filter("a <> b")
+        # parallel edges of two components: only the one first in the order can ever be picked
+        least = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.struct(F.xxhash64("u", "v").alias("h"), "u", "v")).alias("x"))
+        live = cut_lineage(least.select("x.u", "x.v", "a", "b"))
     smallest = member.groupBy("root").agg(F.min("id").alias("least"))
-    named = _lookup(few, member, smallest, ["root"], spread="id").select("id", F.col("least").alias("root"))
+    named = salted_lookup(member, smallest, ["root"], spread="id").select("id", F.col("least").alias("root"))
     return cut_lineage(forest), cut_lineage(named)
 
 
+def save_forest(forest: DataFrame, path: str) -> None:
+    """Writes the picked edges (u, v, round) under ``path``, a folder all executors share; an older forest there is replaced."""
+    forest.select("u", "v", "round").write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def extend_forest(forest: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(forest, roots) of the graph that ``forest`` spans and the new ``edges``.
+
+    A forest has one edge less than its component has ids, so old edges are
+    never read again however many there were.  The components are those of all
+    edges together; an extended forest may be saved and extended in turn, but
+    not over the folder it is read from while its rows are still needed.
+    """
+    return spanning_forest(forest.select("u", "v").unionByName(edges.select("u", "v")))
+
+
 def deal_splits(roots: DataFrame, shares: Mapping[str, str], salt: str = "deal1") -> DataFrame:
     """Adds ``band`` and ``split`` to rows (root, size).
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from plyforge.llm.spanning_forest import deal_splits, game_edges, link_code, recorded_splits, spanning_forest, split_name, split_records, star_edges, torn_games
+from plyforge.llm.spanning_forest import deal_splits, extend_forest, game_edges, link_code, load_forest, recorded_splits, save_forest, spanning_forest, split_name, split_records, star_edges, torn_games
 
 
 def components(edges):
@@ -23,13 +23,14 @@ def components(edges):
     return {x: find(x) for x in up}
 
 
-@pytest.mark.parametrize("kind", ["random", "path", "star"])
+@pytest.mark.parametrize("kind", ["random", "path", "star", "cycle"])
 def test_forest_spans_each_component(spark, kind):
     rng = random.Random(2)
     edges = {
         "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(260)],
-        "path": [(0, 29)] + [(i, i + 1) for i in range(30)],
+        "path": [(i, i + 1) for i in range(120)],
         "star": [(0, i) for i in range(1, 1500)],
+        "cycle": [(i, (i + 1) % 40) for i in range(40)],
     }[kind]
     df = spark.createDataFrame(edges + [(5, None), (None, None), (3, 3)] + edges[:5], "u bigint, v bigint").withColumn("root", F.lit(1))
     forest, roots = spanning_forest(df)
@@ -40,6 +41,22 @@ def test_forest_spans_each_component(spark, kind):
     assert components(picked) == want and set(map(frozenset, picked)) <= set(map(frozenset, edges))
 
 
+def test_a_saved_forest_is_read_back_and_extended(spark, tmp_path):
+    rng = random.Random(4)
+    old, new = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)], [(rng.randrange(120), rng.randrange(120)) for _ in range(50)] + [(3, 3), (None, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "u bigint, v bigint")
+    forest, _ = spanning_forest(frame(old))
+    save_forest(forest, str(tmp_path / "forest"))
+    loaded = load_forest(spark, str(tmp_path / "forest"))
+    assert sorted(loaded.collect()) == sorted(forest.collect())
+    wider, roots = extend_forest(loaded, frame(new))
+    want = components([e for e in old + new if None not in e and e[0] != e[1]])
+    assert {r.id: r.root for r in roots.collect()} == want
+    assert wider.count() == len(want) - len(set(want.values()))
+    same, roots = extend_forest(wider, frame(new[:0]))
+    assert {r.id: r.root for r in roots.collect()} == want and same.count() == wider.count()
+
+
 def test_no_edges_no_roots(spark):
     forest, roots = spanning_forest(spark.createDataFrame([], "u bigint, v bigint"))
     assert forest.count() == roots.count() == 0
