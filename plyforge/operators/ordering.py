@@ -55,8 +55,8 @@ def grouped_rank(df: DataFrame, group: Sequence[str], hash_col: str, ties: Seque
     return out.withColumnRenamed("__before_total", f"{name}_total").drop("__bucket", "__before")
 
 
-def bottom_k(df: DataFrame, group: Sequence[str], hash_col: str, k: Column, ties: Sequence[str] = (), *, digits: int = 3) -> DataFrame:
-    """The ``k`` rows of each group that are smallest by (hash_col, ties).
+def bottom_k(df: DataFrame, group: Sequence[str], hash_col: str, k: Column, ties: Sequence[str] = (), *, digits: int = 3, rank: str | None = None) -> DataFrame:
+    """The ``k`` rows of each group that are smallest by (hash_col, ties), with their place as ``rank`` if that is named.
 
     ``k`` may use the columns of ``df`` and ``group_size``.  Buckets beyond the
     k-th row are dropped before any sort, so the sort sees little more than k.
@@ -66,7 +66,8 @@ def bottom_k(df: DataFrame, group: Sequence[str], hash_col: str, k: Column, ties
     near = _attach(keyed, offsets, group, "__bucket").withColumnRenamed("__before_total", "group_size").withColumn("__k", k)
     near = near.filter(F.col("__before") < F.col("__k"))
     local = F.row_number().over(Window.partitionBy(*group, "__bucket").orderBy(hash_col, *ties))
-    return near.withColumn("__n", F.col("__before") + local).filter("__n <= __k").drop("__bucket", "__before", "__k", "__n")
+    kept = near.withColumn("__n", F.col("__before") + local).filter("__n <= __k").drop("__bucket", "__before", "__k")
+    return kept.withColumnRenamed("__n", rank) if rank else kept.drop("__n")
 
 
 def running_sum(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str], amount: str, *, name: str = "running") -> DataFrame:
