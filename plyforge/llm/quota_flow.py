@@ -119,52 +119,99 @@ def rounded(parts: Mapping[object, Fraction], rng: random.Random) -> dict[object
     return out
 
 
-def quotas(cells: Mapping[tuple[str, object], int], targets: Sequence[Target], size: int, seed: str) -> dict[tuple[str, object], int]:
-    """Integer cell quotas of a sample of ``size`` records.
+def spread(amount: int, rooms: Mapping[str, int], weights: Mapping[str, Fraction], rng: random.Random) -> dict[str, int]:
+    """``amount`` dealt by weight to those with room, what one cannot take to the others; by room if no weight is left."""
+    out, left = dict.fromkeys(rooms, 0), min(amount, sum(rooms.values()))
+    while left:
+        open_ = {c: weights.get(c, Fraction(0)) for c in sorted(rooms) if out[c] < rooms[c]}
+        if not any(open_.values()):
+            open_ = {c: Fraction(rooms[c] - out[c]) for c in open_}
+        whole = sum(open_.values())
+        for c, part in rounded({c: left * w / whole for c, w in open_.items()}, rng).items():
+            out[c] = min(rooms[c], out[c] + part)
+        left = min(amount, sum(rooms.values())) - sum(out.values())
+    return out
+
+
+Cell = tuple[tuple[str, ...], object]
+
+
+def _goals(supply: Mapping[tuple[str, ...], int], targets: Sequence[Target], size: int, rng: random.Random) -> dict[str, int]:
+    """What each category gives, by a flow from the targets to the records that say one or more categories."""
 
-    A first flow fixes what each category gives.  Dear to miss, in this order:
+    def flow(surplus: Mapping[str, int] | None) -> dict[str, int]:
+        net, given = Network(), {}
+        for t in targets:
+            exact = t.share * size
+            floor, whole, node = min(t.floor, size), int(exact), ("category", t.category)
+            arcs = [(floor, 0), (max(0, whole - floor), 10_000), (int(exact != whole and whole >= floor), 20_000 + int(1000 * (1 - (exact - whole))))]
+            if surplus is not None:
+                arcs += [(surplus.get(t.category, 0), 100_000), (size, 200_000)]
+            given[t.category] = [net.arc("source", node, cap, cost) for cap, cost in arcs]
+        for said, n in sorted(supply.items()):
+            net.arc(("cell", said), "sink", n, 0)
+            for c in said:
+                if c in given:
+                    net.arc(("category", c), ("cell", said), n, 0)
+        net.push("source", "sink", size)
+        return {c: sum(net.flow(e) for e in arcs) for c, arcs in given.items()}
+
+    first = flow(None)
+    rooms = {c: max(0, sum(n for said, n in supply.items() if c in said) - got) for c, got in first.items()}
+    missing = size - sum(first.values())
+    return flow(spread(missing, rooms, {t.category: t.share for t in targets}, rng)) if missing > 0 else first
+
+
+def cell_quotas(cells: Mapping[Cell, int], targets: Sequence[Target], size: int, seed: str) -> dict[tuple[tuple[str, ...], object, str], int]:
+    """Integer quotas (categories of the cell, stratum, category it serves) of a sample of ``size`` records.
+
+    A cell holds the records that say the same categories and have the same
+    stratum; one that says several may serve any of them, each record once.  A
+    first flow fixes what each category gives.  Dear to miss, in this order:
     floors, then target shares (whole parts, then one more by the size of the
-    fraction), then filling the sample from categories with records left.
+    fraction), then the surplus: what categories cannot supply is spread over
+    the others by their shares, as far as they have records.
     A second flow divides that over the cells.  A cell's part is proportional
-    to its records within the category, a stratum's margin the sum of its cells'
-    parts; each is rounded up or down at random with the odds of its fraction,
-    and so that parts still add up.  Dear to miss there, in this order: margins
-    within one record, cells within one record, then the drawn roundings.
+    to its records among those of the category, a stratum's margin the sum of
+    its cells' parts; each is rounded up or down at random with the odds of its
+    fraction, and so that parts still add up.  Dear to miss there, in this
+    order: margins within one record, cells within one record, then the drawn
+    roundings.
     """
     rng = random.Random(seed)
-    by_category: dict[str, list[tuple[object, int]]] = {}
-    for (category, stratum), n in sorted(cells.items(), key=lambda x: (str(x[0][0]), str(x[0][1]))):
-        by_category.setdefault(category, []).append((stratum, n))
-    shares, given = Network(), {}
-    for t in targets:
-        exact = t.share * size
-        floor, whole = min(t.floor, size), int(exact)
-        total = sum(n for _, n in by_category.get(t.category, []))
-        node = ("category", t.category)
-        for cap, cost in ((floor, 0), (max(0, whole - floor), 10_000), (int(exact != whole and whole >= floor), 20_000 + int(1000 * (1 - (exact - whole)))), (total, 100_000)):
-            shares.arc("source", node, cap, cost)
-        given[t.category] = shares.arc(node, "sink", total, 0)
-    shares.push("source", "sink", size)
-    goals = {c: shares.flow(e) for c, e in given.items()}
-    net, arcs = Network(), {}
-    parts = {(c, s): Fraction(goal * n, sum(m for _, m in by_category[c])) for c, goal in goals.items() if goal for s, n in by_category[c]}
+    ordered = sorted(cells.items(), key=lambda x: (x[0][0], str(x[0][1])))
+    supply: dict[tuple[str, ...], int] = {}
+    for (said, _), n in ordered:
+        supply[said] = supply.get(said, 0) + n
+    goals = _goals(supply, targets, size, rng)
+    of = {c: [(cell, n) for cell, n in ordered if c in cell[0]] for c in goals}
+    parts = {c: {cell: Fraction(goal * n, sum(m for _, m in of[c])) for cell, n in of[c]} for c, goal in goals.items() if goal}
     margins: dict[object, Fraction] = {}
-    for (_, s), part in parts.items():
-        margins[s] = margins.get(s, Fraction(0)) + part
-    for c, goal in goals.items():
-        net.arc("source", ("category", c), goal, 0)
-        for s, up in rounded({s: parts[c, s] for s, _ in by_category.get(c, []) if goal}, rng).items():
-            n, top = cells[c, s], -(-parts[c, s].numerator // parts[c, s].denominator)
-            cell = ("cell", c, s)
-            for cap, cost in ((up, 0), (top - up, 1 + rng.randrange(100)), (n - top, 100_000)):
-                net.arc(("category", c), cell, cap, cost)
-            arcs[c, s] = net.arc(cell, ("stratum", s), n, 0)
+    for by_cell in parts.values():
+        for (_, s), part in by_cell.items():
+            margins[s] = margins.get(s, Fraction(0)) + part
+    net, arcs = Network(), {}
+    for c, by_cell in parts.items():
+        net.arc("source", ("category", c), goals[c], 0)
+        for cell, up in rounded(by_cell, rng).items():
+            n, top = cells[cell], -(-by_cell[cell].numerator // by_cell[cell].denominator)
+            arcs[c, cell] = [net.arc(("category", c), ("cell", cell), cap, cost) for cap, cost in ((up, 0), (top - up, 1 + rng.randrange(100)), (max(0, n - top), 100_000))]
+    for (said, s), n in ordered:
+        if ("cell", (said, s)) in net.names:
+            net.arc(("cell", (said, s)), ("stratum", s), n, 0)
     for s, up in rounded(margins, rng).items():
         top = -(-margins[s].numerator // margins[s].denominator)
         for cap, cost in ((up, 0), (top - up, 1000), (sum(goals.values()), 10_000_000)):
             net.arc(("stratum", s), "sink", cap, cost)
     net.push("source", "sink", sum(goals.values()))
-    return {(c, s): net.flow(arcs[c, s]) if (c, s) in arcs else 0 for c in goals for s, _ in by_category.get(c, [])}
+    return {(*cell, c): sum(net.flow(e) for e in es) for (c, cell), es in arcs.items()}
+
+
+def quotas(cells: Mapping[tuple[str, object], int], targets: Sequence[Target], size: int, seed: str) -> dict[tuple[str, object], int]:
+    """``cell_quotas`` where every record says one category: (category, stratum) to its quota."""
+    got = cell_quotas({((c,), s): n for (c, s), n in cells.items()}, targets, size, seed)
+    named = {t.category for t in targets}
+    return {(c, s): got.get(((c,), s, c), 0) for c, s in cells if c in named}
 
 
 def plan_sample(cells: Mapping[tuple[str, object], int], targets: Sequence[Target], size: int, seed: str) -> tuple[dict[str, int], dict[tuple[str, object], int]]:
@@ -238,13 +285,17 @@ def target_report(tables: Mapping[str, DataFrame], sample_targets: DataFrame) ->
     return spark.createDataFrame(rows, "sample_name string, category string, needed bigint, available bigint, shortfall bigint")
 
 
+_SEPARATOR = "\u0001"
+
+
 def draw_samples(tables: Mapping[str, DataFrame], sample_targets: DataFrame, *, salt: str = "draw1") -> DataFrame:
     """(sample_name, category, stratum, record): the records drawn for every sample.
 
-    A record with several categories may serve each of them, but is drawn once a
-    sample: under its smallest category.  Of each cell the quota's records with
-    the smallest salted hash are taken, by hash buckets, so no task holds a
-    category.  A null or unknown category is never drawn.
+    A record that says several categories may be drawn for any of them, once a
+    sample.  Of each cell the quota's records with the smallest salted hash are
+    taken, by hash buckets, so no task holds a category; where a cell serves
+    several categories they take theirs in that order.  A null or unknown
+    category is never drawn.
     """
     spark = sample_targets.sparkSession
     plans = read_targets(sample_targets)
@@ -253,11 +304,30 @@ def draw_samples(tables: Mapping[str, DataFrame], sample_targets: DataFrame, *,
         mine = {s: x for s, x in plans.items() if x["table"] == name}
         if not mine:
             continue
-        single = df.groupBy("record").agg(F.min("category").alias("category"), F.min("stratum").alias("stratum"))
-        cells = count_cells(single, "stratum")
-        rows = [(s, c, k, q) for s, x in mine.items() for (c, k), q in quotas(cells, x["targets"], x["size"], f"{salt}:{s}").items() if q]
-        quota = spark.createDataFrame(rows, "sample_name string, category string, stratum string, quota bigint")  # a row a target and stratum
-        wanted = single.join(F.broadcast(quota), ["category", "stratum"]).withColumn("h", salted_hash(salt, F.col("sample_name"), F.col("record")))
-        part = bottom_k(wanted, ["sample_name", "category", "stratum"], "h", F.col("quota"), ["record"]).select("sample_name", "category", "stratum", "record")
+        # a row a record, with the few categories it says
+        single = df.groupBy("record").agg(F.array_join(F.array_sort(F.collect_set("category")), _SEPARATOR).alias("said"), F.min("stratum").alias("stratum"))
+        cells = {(tuple(r.said.split(_SEPARATOR)), r.stratum): r.n for r in single.groupBy("said", "stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+        by_cell: dict[tuple, list[tuple[str, int]]] = {}
+        for s, x in mine.items():
+            for (said, stratum, c), q in sorted(cell_quotas(cells, x["targets"], x["size"], f"{salt}:{s}").items(), key=lambda x: (x[0][0], str(x[0][1]), x[0][2])):
+                if q:
+                    ends = by_cell.setdefault((s, _SEPARATOR.join(said), stratum), [])
+                    ends.append((c, (ends[-1][1] if ends else 0) + q))
+        # a row a sample and cell
+        quota = spark.createDataFrame([(*k, ends, ends[-1][1]) for k, ends in by_cell.items()], "sample_name string, said string, stratum string, ends array<struct<category string, upto bigint>>, quota bigint")
+        wanted = single.join(F.broadcast(quota), (single.said == quota.said) & single.stratum.eqNullSafe(quota.stratum)).select("sample_name", single.said, single.stratum, "record", "ends", "quota").withColumn("h", salted_hash(salt, F.col("sample_name"), F.col("record")))
+        part = bottom_k(wanted, ["sample_name", "said", "stratum"], "h", F.col("quota"), ["record"], rank="place")
+        served = F.get(F.filter("ends", lambda e: e["upto"] >= F.col("place")), F.lit(0))
+        part = part.withColumn("serves", served).select("sample_name", F.col("serves.category").alias("category"), "stratum", "record")
         drawn = part if drawn is None else drawn.unionByName(part)
     return drawn if drawn is not None else spark.createDataFrame([], "sample_name string, category string, stratum string, record string")
+
+
+def draw_report(drawn: DataFrame, sample_targets: DataFrame) -> DataFrame:
+    """(sample_name, category, needed, drawn, shortfall) of every target row, from the records that were drawn."""
+    spark = sample_targets.sparkSession
+    rows = [(s, t.category, needed(t, x["size"])) for s, x in read_targets(sample_targets).items() for t in x["targets"]]
+    want = spark.createDataFrame(rows, "sample_name string, category string, needed bigint")
+    got = drawn.groupBy("sample_name", "category").agg(F.count(F.lit(1)).alias("drawn"))
+    out = want.join(got, ["sample_name", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return out.withColumn("shortfall", F.greatest(F.lit(0), F.col("needed") - F.col("drawn")))

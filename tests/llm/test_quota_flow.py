@@ -3,7 +3,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from plyforge.llm.quota_flow import Network, Target, band_name, category_records, draw_samples, needed, phase_name, quotas, shortfalls, target_report
+from plyforge.llm.quota_flow import Network, Target, band_name, category_records, cell_quotas, draw_report, draw_samples, needed, phase_name, quotas, shortfalls, target_report
 
 TARGETS = "sample_name string, base_table string, category_field string, category string, target_share double, min_records bigint, sample_size bigint, quota bigint"
 
@@ -93,3 +93,38 @@ def test_samples_hold_the_margin_of_a_second_field(spark):
     assert len({r.record for r in drawn}) == 200 and margin["train"] == 160 and margin["test"] == 20 and margin["val"] in (0, 1)
     assert cells["opening", "train"] == 80 and cells["middlegame", "test"] == 10
     assert {r.category: r.available for r in target_report({"t": records}, targets).collect()} == {"opening": 2400, "middlegame": 1600}
+
+
+def test_a_surplus_is_spread_by_share():
+    targets = [Target("a", Fraction(1, 2), 0), Target("b", Fraction(3, 10), 0), Target("c", Fraction(1, 5), 0)]
+    for seed in range(40):
+        q = quotas({("a", "x"): 100, ("b", "x"): 500, ("c", "x"): 900}, targets, 333, str(seed))
+        assert sum(q.values()) == 333 and q["a", "x"] == 100
+        assert abs(q["b", "x"] - 0.6 * 233) <= 2 and abs(q["c", "x"] - 0.4 * 233) <= 2
+    q = quotas({("a", "x"): 100, ("b", "x"): 110, ("c", "x"): 900}, targets, 333, "s")  # b runs dry as well
+    assert q == {("a", "x"): 100, ("b", "x"): 110, ("c", "x"): 123}
+
+
+def test_categories_outrank_margins_where_both_cannot_hold():
+    targets = [Target("a", Fraction(1, 2), 0), Target("b", Fraction(1, 2), 0)]
+    cells = {("a", "x"): 900, ("a", "y"): 0, ("b", "x"): 10, ("b", "y"): 90}  # x is the greater part, but only a has much of it
+    for seed in range(20):
+        q = quotas(cells, targets, 100, str(seed))
+        assert q["a", "x"] == 50 and q["b", "x"] + q["b", "y"] == 50 and q["b", "x"] == 5
+
+
+def test_records_of_two_categories_serve_where_they_are_needed(spark):
+    targets = [Target("a", Fraction(1, 2), 0), Target("b", Fraction(1, 2), 0)]
+    got = cell_quotas({(("a",), "x"): 5, (("a", "b"), "x"): 30, (("b",), "x"): 0}, targets, 30, "s")
+    by = Counter()
+    for (_, _, c), q in got.items():
+        by[c] += q
+    assert by == {"a": 15, "b": 15} and got[("a", "b"), "x", "b"] == 15
+    rows = [(i, "a") for i in range(35)] + [(i, "b") for i in range(5, 35)]
+    records = category_records(spark.createDataFrame(rows, "id int, c string"), ["id"], F.col("c"))
+    plan = spark.createDataFrame([("s", "t", "f", c, 0.5, 0, 40, 1) for c in "ab"], TARGETS)
+    drawn = draw_samples({"t": records}, plan)
+    assert drawn.select("record").distinct().count() == drawn.count() == 35
+    report = {r.category: (r.needed, r.drawn, r.shortfall) for r in draw_report(drawn, plan).collect()}
+    # 35 records cannot fill 40 places
+    assert all(need == 20 and lack == need - got for need, got, lack in report.values()) and sum(lack for *_, lack in report.values()) == 5
