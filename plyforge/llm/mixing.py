@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from plyforge.operators.ordering import running_sum, salted_hash
 from plyforge.session import cut_lineage
 
-#: Bins of virtual time by which a mix is summed up; what one task sorts is a mix / BINS.
-BINS = 4096
+#: Documents of a mix that share a bin of virtual time on average, which is what one task sorts, and the fewest bins.
+BIN_ROWS, LEAST_BINS = 2_000, 256
 
 
 def source_name(column: Column) -> Column:
@@ -70,7 +70,7 @@ def _horizon(rows: list, budget: int) -> float:
     return time
 
 
-def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", bins: int = BINS) -> DataFrame:
+def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", bins: int | None = None) -> DataFrame:
     """(mix_name, position, source, doc_id, pass, tokens, finish): the mixes, in order.
 
     ``sizes`` has doc_id, source (plain) and tokens; documents without tokens,
@@ -80,7 +80,8 @@ def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", b
     counts from 1 to at most max_repeats.  A row is part of the mix if all
     tokens up to and with it fit the budget.
     Sources, mixes and bins are summed up before anything is sorted, so a task
-    sees a hash bucket of a source or a time bin of a mix, never either whole.
+    sees a hash bucket of a source or a time bin of a mix, never either whole;
+    there are as many bins as the largest mix has use for (see ``BIN_ROWS``).
     """
     spark = sizes.sparkSession
     docs = cut_lineage(_documents(sizes))
@@ -91,13 +92,14 @@ def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", b
     for r in plan.collect():
         if r.source in have:
             t = have[r.source]
-            by_mix.setdefault(r.mix_name, []).append({"mix_name": r.mix_name, "source": r.source, "weight": float(r.weight), "max": int(r.max_repeats), "total": int(t.tokens), "largest": int(t.largest), "cap": int(t.tokens) * int(r.max_repeats), "budget": int(r.budget_tokens)})
-    rows = []
+            by_mix.setdefault(r.mix_name, []).append({"mix_name": r.mix_name, "source": r.source, "weight": float(r.weight), "max": int(r.max_repeats), "total": int(t.tokens), "largest": int(t.largest), "docs": int(t.docs), "cap": int(t.tokens) * int(r.max_repeats), "budget": int(r.budget_tokens)})
+    rows, most = [], 0
     for mix in by_mix.values():
         budget = max(r["budget"] for r in mix)
         # no document may finish later than this and still be within the budget
         slack = sum(r["largest"] for r in mix) / min(r["weight"] for r in mix)
         until = _horizon(mix, budget) * (1 + 1e-9) + slack
+        most = max(most, sum(int(min(r["max"], until * r["weight"] / r["total"]) * r["docs"]) for r in mix))
         for r in mix:
             passes = min(r["max"], int(until * r["weight"] / r["total"]) + 1)
             if passes > 0 and budget > 0:
@@ -105,8 +107,12 @@ def mix_documents(sizes: DataFrame, targets: DataFrame, *, salt: str = "mix1", b
     queue = spark.createDataFrame(rows, "mix_name string, source string, weight double, passes int, total bigint, budget bigint, until double")
     named = docs.join(F.broadcast(queue.select("source").distinct()), "source", "left_semi").withColumn("h", salted_hash(salt, F.col("doc_id"))).withColumn("bucket", F.substring("h", 1, 3))
     summed = running_sum(named, ["source"], "bucket", ["h", "doc_id"], "tokens", name="upto").select("doc_id", "source", "tokens", "upto")
-    served = summed.join(F.broadcast(queue), "source").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).withColumn("finish", ((F.col("pass") - 1) * F.col("total") + F.col("upto")) / F.col("weight"))
-    served = served.filter(F.col("finish") <= F.col("until")).withColumn("bin", F.floor(F.col("finish") / F.col("until") * bins).cast("int"))
+    bins = bins or max(LEAST_BINS, most // BIN_ROWS)
+    # only the passes that end within the horizon are made into rows
+    last = F.least(F.col("passes"), F.floor((F.col("until") * F.col("weight") - F.col("upto")) / F.col("total")).cast("int") + 1)
+    served = summed.join(F.broadcast(queue), "source").withColumn("last", last).filter("last > 0")
+    served = served.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("last")))).withColumn("finish", ((F.col("pass") - 1) * F.col("total") + F.col("upto")) / F.col("weight"))
+    served = served.withColumn("bin", F.floor(F.col("finish") / F.col("until") * bins).cast("int"))
     served = cut_lineage(served.select("mix_name", "source", "doc_id", "pass", "tokens", "finish", "bin", "budget").withColumn("one", F.lit(1)))
     order = ["finish", "source", "pass", "doc_id"]
     kept = running_sum(served, ["mix_name"], "bin", order, "tokens", name="upto").filter("upto <= budget").drop("upto_total")
