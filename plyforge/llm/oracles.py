@@ -196,5 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_filled_fields": _FILLED,
         "p5_target_report": _TARGETS,
         "p5_found": f"select sample_name, category from ({_TARGETS}) where shortfall > 0",
+        "p6_pieces_by_characters": "select doc_id, cast(greatest(1, ceil(coalesce(length(text), 0) / 2048)) as bigint) pieces, cast(coalesce(length(text), 0) as bigint) characters, cast(least(coalesce(length(text), 0), 2048) as bigint) largest, cast(ceil(coalesce(length(text), 0) / 2048) as bigint) bins from documents",
+        "p6_bins_by_characters": "select cast(sum(length(text)) as bigint) characters, cast(0 as bigint) too_full, true dense from documents",
         "p7_mix_by_characters": _MIX,
     }

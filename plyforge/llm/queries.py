@@ -139,6 +139,11 @@ def p5_found(spark, d):
     return p5_target_report(spark, d).filter("shortfall > 0").select("sample_name", "category")
 
 
+def p5_draw_report(spark, d):
+    """What was drawn of each target, and what the draw lacks of it."""
+    return quota_flow.draw_report(p5_samples(spark, d), _table(spark, d, "sample_targets"))
+
+
 def p5_samples(spark, d):
     return quota_flow.draw_samples(_categories(spark, d), _table(spark, d, "sample_targets"))
 
@@ -160,6 +165,20 @@ def p6_found(spark, d):
     return packed.filter((F.col("piece") > 0) | (F.col("tokens") == CAPACITY)).groupBy("doc_id").agg(F.max("piece").alias("last")).filter("last > 0").select("doc_id")
 
 
+def p6_pieces_by_characters(spark, d):
+    """How the packing of texts measured in characters divides each, which SQL can check: nothing lost, nothing divided that fits."""
+    sizes = _table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("tokens"))
+    packed = bin_packing.pack_items(sizes, "doc_id", "tokens", CAPACITY)
+    return packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("characters"), F.max("tokens").alias("largest"), F.count_distinct("bin").alias("bins"))
+
+
+def p6_bins_by_characters(spark, d):
+    """Bins over their capacity (none) and whether all bins but one are at least half full."""
+    sizes = _table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("tokens"))
+    filled = bin_packing.pack_items(sizes, "doc_id", "tokens", CAPACITY).filter("bin is not null").groupBy("bin").agg(F.sum("tokens").alias("t"))
+    return filled.agg(F.sum("t").alias("characters"), F.count_if(F.col("t") > CAPACITY).alias("too_full"), (F.count_if(F.col("t") * 2 < CAPACITY) <= 1).alias("dense"))
+
+
 def p6_report(spark, d):
     return bin_packing.packing_report(p6_packed(spark, d), CAPACITY)
 
