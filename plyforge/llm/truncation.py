@@ -1,9 +1,10 @@
 """Texts that were cut off, by a structural completeness check.
 
-A stack automaton reads the whole text: brackets and braces push and pop,
-quotes toggle, escapes and entities must close.  Whatever is still open at the
-end, a broken character or escape there, or a mark that a cutter leaves, shows a
-cut.  Otherwise the end is read: an end mark that ends a sentence (and not an
+A stack automaton reads the whole text: brackets, braces, quotes of all kinds,
+guillemets, code marks and markup tags push and pop; smileys and inch marks are
+told apart by what stands around them.  Whatever is still open at the end, a
+broken character, entity or escape there, or a mark that a cutter leaves, shows
+a cut.  Otherwise the end is read: an end mark that ends a sentence (and not an
 abbreviation, a number or a move), a game result, or a closing line such as a
 signature, a list, tags, a link.  A text that has none of these lacks its
 terminator, which counts as a cut where the texts of its source usually have one.
@@ -30,8 +31,13 @@ BASELINE = 0.5
 #: An ending in dots is a phrase of its own if this part of all such endings, and two texts, have it.
 PHRASE_SHARE = 0.04
 
-_STRUCTURE = re.compile(r'[()\[\]{}"�]')
-_PAIRS = {")": "(", "]": "[", "}": "{"}
+#: A mark, a code fence or a whole tag; one set of first characters lets the search skip from mark to mark.
+_STRUCTURE = re.compile(r"""[()\[\]{}"`“”„«»�<](?:(?<=`)``|(?<=<)/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)?""")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+_FACE = re.compile(r"(?:^|\s)[:;=]['’]?-?$")
+_MOUTHS = "()[]DPpOo/|"
+#: Tags of markup that need no closing tag.
+_UNPAIRED = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th thead tbody tfoot option".split())
 _HEADER = re.compile(r'\s*\[[A-Z]\w* "')
 _TRAILER = re.compile(
     r"""(?:--|—|~)\s?\S+            # signature
@@ -40,7 +46,6 @@ _TRAILER = re.compile(
     |\w+:\s\S.*                     # key: value
     |\(\w+\s\d+\)                   # reference to a figure
     |https?://\S+                   # link
-    |[:;]-?[)(DP]                   # smiley
     |\[(?:1-0|0-1|1/2-1/2|\*)\]     # result
     |[-*•]\s\S.*                    # list""",
     re.VERBOSE,
@@ -49,31 +54,70 @@ _MOVETEXT_END = re.compile(r"(?:\d+\.+)?(?:[KQRBN]?[a-h]?[1-8]?x?[a-h]?[1-8]?(?:
 _SCHEMA = T.StructType([T.StructField("sign", T.StringType()), T.StructField("phrase", T.StringType())])
 
 
+def smiley(text: str, mouth: int) -> bool:
+    """Whether the character at ``mouth`` ends a smiley that stands by itself."""
+    if not text[mouth + 1 : mouth + 2].strip() and text[mouth - 1 : mouth] in tuple(":;='’-"):
+        return bool(_FACE.search(text[max(0, mouth - 4) : mouth]))
+    return False
+
+
 def open_structures(text: str) -> list[tuple[str, int]]:
     """What the automaton still holds at the end: (symbol, position).
 
-    Closers without an opener are ignored; a closer pops what was opened inside
-    it.  A damaged character after an opener may have been its closer, so it
-    frees the innermost.
+    A closer pops its opener and what was opened inside it; closers without an
+    opener are ignored.  Straight quotes and code marks toggle, but a straight
+    quote after a letter or digit closes only (``5"``); within code nothing but
+    its end counts.  A guillemet opens if it stands before a word and after a
+    blank, in either direction; ``“`` closes ``„`` and opens otherwise.  Tags
+    push and pop by name.  A bracket that is a smiley's mouth opens nothing.
+    A damaged character after an opener may have been its closer, so it frees
+    the innermost.
     """
     stack: list[tuple[str, int]] = []
+
+    def pop(*symbols: str) -> bool:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in symbols:
+                del stack[i:]
+                return True
+        return False
+
     for m in _STRUCTURE.finditer(text):
-        c = m.group()
+        c, at = m.group(), m.start()
         if c == "�":
             if stack:
                 stack.pop()
+            continue
+        if stack and stack[-1][0] in ("`", "```"):
+            if c == stack[-1][0]:
+                stack.pop()
+            continue
+        before, after = text[at - 1 : at], text[m.end() : m.end() + 1]
+        if c in _CLOSES:
+            pop(_CLOSES[c])
         elif c == '"':
-            held = [i for i, (s, _) in enumerate(stack) if s == '"']
-            if held:
-                del stack[held[-1] :]
+            if not pop(c) and not before.isalnum():
+                stack.append((c, at))
+        elif c == "”":
+            pop("“", "„")
+        elif c == "“":
+            if not pop("„"):
+                stack.append((c, at))
+        elif c in "«»":
+            if (not before or before.isspace() or before in "([{\"“„") and after and not after.isspace():
+                stack.append((c, at))
             else:
-                stack.append((c, m.start()))
-        elif c in _PAIRS:
-            held = [i for i, (s, _) in enumerate(stack) if s == _PAIRS[c]]
-            if held:
-                del stack[held[-1] :]
-        else:
-            stack.append((c, m.start()))
+                pop("»" if c == "«" else "«")
+        elif c == "<":
+            continue
+        elif c[0] == "<":
+            name = re.match(r"</?(\w+)", c).group(1).lower()
+            if c[1] == "/":
+                pop(f"<{name}>")
+            elif name not in _UNPAIRED and not c.endswith("/>"):
+                stack.append((f"<{name}>", at))
+        elif not smiley(text, at):
+            stack.append((c, at))
     return stack
 
 
@@ -100,6 +144,8 @@ def end_sign(text: str | None) -> tuple[str, str | None]:
         return "open", None
     if whole.rsplit(None, 1)[-1] in RESULTS:
         return "complete", None
+    if not game and whole[-1] in _MOUTHS and smiley(whole, len(whole) - 1):
+        return "complete", None
     if game and _MOVETEXT_END.fullmatch(whole.rsplit(None, 1)[-1]):
         return "unfinished", None
     if whole.endswith(("…", "...")):

