@@ -13,32 +13,49 @@ OPENING_PLY, MIDDLEGAME_PIECES = 10, 14
 PIECE_VALUES = {"p": 1, "n": 3, "b": 3, "r": 5, "q": 9, "k": 0}
 
 
-def clean_movetext(text: str) -> str:
-    """Movetext without comments, variations of any depth, NAGs, result and move numbers."""
-    text = re.sub(r"\{[^}]*\}", " ", text)
-    before = None
-    while before != text:
-        before, text = text, re.sub(r"\([^()]*\)", " ", text)
-    text = re.sub(r"\$\d+", " ", text)
-    text = re.sub(r"(?:1-0|0-1|1/2-1/2|\*)\s*$", " ", text)
-    return " ".join(re.sub(r"\b\d+\.(?:\.\.)?", " ", text).split())
+#: A comment, a parenthesis, a numeric glyph, or a run of anything else up to one of these.
+_LEXEME = re.compile(r"\{[^}]*\}|[()]|\$\d+|[^\s(){}$]+|[{}$]")
+_MOVE_NUMBER = re.compile(r"\b\d+\.(?:\.\.)?")
 
 
-def san_tokens(text: str) -> list[str]:
-    return [t for t in (t.rstrip("!?") for t in clean_movetext(text).split()) if t]
+def mainline(movetext: str) -> list[str]:
+    """The words of the main line: no comments, variations, glyphs, move numbers or final result.
 
-
-def san_to_uci(text: str) -> tuple[str, int] | None:
-    """(moves, plies) of a movetext; None if a move is illegal."""
-    board, moves = Board(), []
-    try:
-        for token in san_tokens(text):
-            move = board.parse_san(token)
-            board.push(move)
-            moves.append(uci(move))
-    except Illegal:
-        return None
-    return " ".join(moves), len(moves)
+    One pass: an opening parenthesis remembers how much had been read, and its
+    closing one takes back what came since.  A parenthesis without a partner
+    stays as a word, which is no move.
+    """
+    words: list[str] = []
+    opened: list[int] = []
+    for lexeme in _LEXEME.findall(movetext):
+        if lexeme == "(":
+            opened.append(len(words))
+            words.append(lexeme)
+        elif lexeme == ")" and opened:
+            del words[opened.pop() :]
+        elif lexeme[0] not in "{$" or len(lexeme) == 1:
+            words.extend(_MOVE_NUMBER.sub(" ", lexeme).split())
+    if words and words[-1] in (*RESULTS, "*"):
+        words.pop()
+    return words
+
+
+def mainline_moves(movetext: str) -> list[str]:
+    """The words of the main line without ``!`` and ``?`` at their ends."""
+    return list(filter(None, (word.rstrip("!?") for word in mainline(movetext))))
+
+
+def replayed(movetext: str) -> list[str] | None:
+    """The main line in coordinates; None if a move of it cannot be played."""
+    board, played = Board(), []
+    for word in mainline_moves(movetext):
+        try:
+            move = board.parse_san(word)
+        except Illegal:
+            return None
+        board.push(move)
+        played.append(uci(move))
+    return played
 
 
 def conversion(text: str | None, result: str | None, least: int, most: int) -> tuple[str, str | None, int | None]:
@@ -48,11 +65,11 @@ def conversion(text: str | None, result: str | None, least: int, most: int) -> t
     """
     if text is None or result not in RESULTS:
         return "illegal", None, None
-    converted = san_to_uci(text)
-    if converted is None:
+    played = replayed(text)
+    if played is None:
         return "illegal", None, None
-    reason = "short" if converted[1] < least else "long" if converted[1] > most else "kept"
-    return reason, *converted
+    plies = len(played)
+    return "short" if plies < least else "long" if plies > most else "kept", " ".join(played), plies
 
 
 def phase(ply: int, pieces: int) -> str:
@@ -84,7 +101,7 @@ def rebuild_prefix(text: str | None, fen: str | None) -> tuple[str, str | None,
     board, moves = Board(), []
     if board.fen4() == target:
         return "ok", "", 0
-    for token in san_tokens(text):
+    for token in mainline_moves(text):
         try:
             move = board.parse_san(token)
         except Illegal:

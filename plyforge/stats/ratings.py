@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOG = np.log(10) / 400
-#: How far beyond the opponents a fit or a bound may go, and its largest step.
-SLACK, BOUND_SLACK, MAX_STEP = 1000.0, 4000.0, 400.0
+#: How far beyond the opponents a fit or a bound may go.
+SLACK, BOUND_SLACK = 1000.0, 4000.0
 
 
 def rung_summary(games: DataFrame) -> DataFrame:
@@ -20,40 +20,61 @@ def rung_summary(games: DataFrame) -> DataFrame:
     return games.groupBy("rung").agg(F.min("opponent_elo").alias("opponent_elo"), F.count(F.lit(1)).alias("games"), F.count_if(F.col("score") == 1).alias("wins"), F.count_if(F.col("score") == 0.5).alias("draws"), F.count_if(F.col("score") == 0).alias("losses"), F.avg("score").alias("score"))
 
 
-def fit_elo(opponents: np.ndarray, n: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood ratings by Newton steps.
+def expected(ratings: np.ndarray, opponents: np.ndarray) -> np.ndarray:
+    """Expected scores of each rating (last axis added) against each opponent."""
+    return 1 / (1 + np.exp(-LOG * (np.asarray(ratings, float)[..., None] - opponents)))
 
-    ``n`` and ``score`` (its sum) are by opponent, with any leading axes of
-    resamples: the likelihood only depends on them.
+
+def crossing(rising: Callable[[np.ndarray], np.ndarray], low: np.ndarray, high: np.ndarray, close: float = 1e-7) -> np.ndarray:
+    """Where a rising function, worked out for all elements at once, passes 0 between ``low`` and ``high``; the nearer end where it does not.
+
+    Each round takes the midpoint and then the point of the exponential secant
+    through it and both ends, so the bracket at least halves and usually
+    collapses in a few rounds.
+    """
+    low, high = np.array(low, float), np.array(high, float)
+    at_low, at_high = rising(low), rising(high)
+    high = np.where(at_low >= 0, low, high)
+    low = np.where(at_high <= 0, high, low)
+    while (high - low).max(initial=0.0) > close:
+        middle = (low + high) / 2
+        at_middle = rising(middle)
+        root = np.sqrt(np.maximum(at_middle**2 - at_low * at_high, 1e-300))
+        guess = np.clip(middle - (middle - low) * at_middle / root, low, high)
+        at_guess = rising(guess)
+        for x, y in ((middle, at_middle), (guess, at_guess)):
+            inside = (x >= low) & (x <= high)
+            up = inside & (y >= 0)
+            down = inside & (y < 0)
+            high, at_high = np.where(up, x, high), np.where(up, y, at_high)
+            low, at_low = np.where(down, x, low), np.where(down, y, at_low)
+    return (low + high) / 2
+
+
+def likely_ratings(opponents: np.ndarray, played: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood ratings: those whose expected total is the total that was scored.
+
+    ``played`` and ``scored`` (games and their sum) are by opponent, one row a
+    resample: the likelihood depends on nothing else.  A side that scored
+    everything or nothing is held ``SLACK`` beyond the opponents it met.
     """
     opponents = np.asarray(opponents, float)
-    n, score = np.atleast_2d(n).astype(float), np.atleast_2d(score).astype(float)
-    played = np.where(n > 0, opponents, np.nan)
-    low, high = np.nanmin(played, 1) - SLACK, np.nanmax(played, 1) + SLACK
-    elo = (n * opponents).sum(1) / n.sum(1)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-LOG * (elo[:, None] - opponents)))
-        slope, bend = (score - n * p).sum(1), (n * p * (1 - p)).sum(1)
-        step = np.clip(np.where(bend > 1e-12, slope / (LOG * np.maximum(bend, 1e-12)), 0.0), -MAX_STEP, MAX_STEP)
-        elo = np.clip(elo + step, low, high)
-        if np.abs(step).max() < 1e-6:
-            break
-    return elo
-
-
-def one_sided_bound(opponents: Sequence[float], n: Sequence[float], level: float = 0.95, won: bool = True) -> float:
+    played, scored = np.atleast_2d(played).astype(float), np.atleast_2d(scored).astype(float)
+    met = np.where(played > 0, opponents, np.nan)
+    total = scored.sum(1)
+    return crossing(lambda r: (played * expected(r, opponents)).sum(1) - total, np.nanmin(met, 1) - SLACK, np.nanmax(met, 1) + SLACK)
+
+
+def clean_sheet_bound(opponents: Sequence[float], played: Sequence[float], level: float = 0.95, won: bool = True) -> float:
     """The rating at which winning (losing) every game gets as unlikely as 1 - level."""
-    r, n = np.asarray(opponents, float), np.asarray(n, float)
-    low, high, goal = r.min() - BOUND_SLACK, r.max() + BOUND_SLACK, np.log(1 - level)
-    for _ in range(200):
-        mid = (low + high) / 2
-        p = 1 / (1 + np.exp(-LOG * (mid - r)))
-        likely = (n * np.log(np.clip(p if won else 1 - p, 1e-300, 1))).sum()
-        if (likely < goal) == won:
-            low = mid
-        else:
-            high = mid
-    return (low + high) / 2
+    opponents, played = np.asarray(opponents, float), np.asarray(played, float)
+    side = 1.0 if won else -1.0  # losing every game as x is winning every game as -x against mirrored opponents
+
+    def surplus(x: np.ndarray) -> np.ndarray:
+        return -(played * np.log1p(np.exp(-LOG * (x[..., None] - side * opponents)))).sum(-1) - np.log(1 - level)
+
+    ends = np.sort(side * np.array([opponents.min() - BOUND_SLACK, opponents.max() + BOUND_SLACK]))
+    return float(side * crossing(surplus, ends[:1], ends[1:])[0])
 
 
 def estimate(games: DataFrame, by: str | None = None, samples: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -70,15 +91,15 @@ def estimate(games: DataFrame, by: str | None = None, samples: int = 500, seed:
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["o", "s"])
         o, s, n = df["o"].to_numpy(), df["s"].to_numpy(), df["n"].to_numpy()
-        elo = fit_elo(o, n, n * s)[0]
+        elo = likely_ratings(o, n, n * s)[0]
         row = {"who": df["who"].iloc[0], "elo": elo, "ci_low": None, "ci_high": None, "elo_lower": None, "elo_upper": None, "games": int(n.sum()), "score": float((n * s).sum() / n.sum())}
         if (s >= 1).all():
-            row["elo_lower"] = one_sided_bound(o, n, level, True)
+            row["elo_lower"] = clean_sheet_bound(o, n, level, True)
         elif (s <= 0).all():
-            row["elo_upper"] = one_sided_bound(o, n, level, False)
+            row["elo_upper"] = clean_sheet_bound(o, n, level, False)
         else:
             draws = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), size=samples)
-            fits = fit_elo(o, draws, draws * s)
+            fits = likely_ratings(o, draws, draws * s)
             row["ci_low"], row["ci_high"] = np.percentile(fits, [(1 - level) * 50, 100 - (1 - level) * 50])
         return pd.DataFrame([row])
 

@@ -35,7 +35,7 @@ def test_random_games_round_trip_through_san_and_fen():
             moves.append(uci(move))
             assert Board(board.fen()).key() == board.key()
         text = " ".join(moves)
-        assert G.san_to_uci(G.numbered_san(text)) == (text, len(moves))
+        assert G.replayed(G.numbered_san(text)) == text.split() and len(moves) == len(text.split())
         assert "".join(G.split_moves(text.replace(" ", ""))) == text.replace(" ", "")
 
 
@@ -59,9 +59,9 @@ def test_bad_positions_raise(fen):
 
 def test_movetext_with_comments_variations_and_marks():
     text = "1. e4 {good (really)} e5 (1... c5 (1... e6 2. d4) 2. Nf3) 2. Nf3!? $1 Nc6 3. Bb5?! a6 1-0"
-    assert G.san_tokens(text) == ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6"]
-    assert G.san_to_uci(text) == ("e2e4 e7e5 g1f3 b8c6 f1b5 a7a6", 6)
-    assert G.san_to_uci("1. e4 e5 2. Ke3") is None
+    assert G.mainline_moves(text) == ["e4", "e5", "Nf3", "Nc6", "Bb5", "a6"]
+    assert G.replayed(text) == "e2e4 e7e5 g1f3 b8c6 f1b5 a7a6".split()
+    assert G.replayed("1. e4 e5 2. Ke3") is None
 
 
 def test_conversion_reasons():
@@ -101,3 +101,9 @@ def test_every_engine_line_is_judged(spark, tmp_path):
     spark.createDataFrame(rows, "line_id bigint, fen string, move string, line string").write.parquet(f"{tmp_path}/engine_lines.parquet")
     assert {r.line_id: r.legal for r in plans.legal_moves(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 6: None, 7: None, 8: None}
     assert {r.blunder: r.n for r in plans.blunder_heuristic(spark, str(tmp_path)).collect()} == {False: 4, None: 4}
+
+
+def test_main_line_of_odd_movetexts():
+    assert G.mainline("1. e4 {a (b)} e5 (1... c5 (1... e6) 2. d4) 2.Nf3$1 1-0") == ["e4", "e5", "Nf3"]
+    assert G.mainline("1. e4 ((1. d4) e5") == ["e4", "(", "e5"] and G.mainline("1. e4 ) e5 *") == ["e4", ")", "e5"]
+    assert G.mainline("") == [] and G.mainline("1/2-1/2") == [] and G.mainline("(" * 2000 + ")" * 2000) == []
