@@ -41,13 +41,11 @@ def walk_positions(spark, d):
     return frames.distinct_positions(frames.walk_positions(first_games(spark, d)))
 
 
-@register("""
-    select phase, count(*) n from (select case when p <= 10 then 'opening' else 'later' end phase from (
-      select unnest(range(1, len(string_split(uci, ' ')) + 1)) p from (select * from (select *, row_number() over (partition by game_id order by batch_no, ingested_at) rk from games where uci is not null) where rk = 1))) group by 1
-""")
+@register()
 def walked_phases(spark, d):
+    """Positions walked in each of the three phases."""
     walked = frames.walk_positions(first_games(spark, d))
-    return walked.groupBy(F.when(F.col("phase") == "opening", "opening").otherwise("later").alias("phase")).agg(F.count(F.lit(1)).alias("n"))
+    return walked.groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def first_moves(spark, d):

@@ -11,12 +11,21 @@ from plyforge.plans.catalogue import register
 from plyforge.plans.sampling import table
 
 
-def corpus_rows(games, min_elo: int = 1800, min_base: int = 180, max_elo: int | None = None):
-    """Rated standard games: both ratings and the base time at least so high; a null fails its test."""
+def corpus_rows(games, min_elo: int = 1800, min_base: int = 180, max_elo: int | None = None, terminations=None, without_event: str | None = None):
+    """Rated standard games: both ratings and the base time at least so high, ended in one of ``terminations``, of no event that names ``without_event``.
+
+    The last two need the columns ``termination`` and ``event`` and are left out
+    where they are not asked for; case does not count in an event.  A null fails
+    its test, so a game without an event is dropped as well.
+    """
     keep = (F.col("white_elo") >= min_elo) & (F.col("black_elo") >= min_elo) & (text.base_time(F.col("time_control")) >= min_base)
     if max_elo:
         keep = keep & (F.col("white_elo") <= max_elo) & (F.col("black_elo") <= max_elo)
-    return games.filter(keep & F.col("result").isin("1-0", "0-1", "1/2-1/2"))
+    if terminations is not None:
+        keep = keep & F.col("termination").isin(list(terminations))
+    if without_event is not None:
+        keep = keep & ~F.col("event").ilike(f"%{without_event}%")
+    return games.filter(keep)
 
 
 @register("""
@@ -26,7 +35,21 @@ def corpus_rows(games, min_elo: int = 1800, min_base: int = 180, max_elo: int |
       and try_cast(trim(split_part(time_control, '+', 1)) as integer) >= 180
 """)
 def corpus_filter(spark, d):
-    return corpus_rows(table(spark, d, "games")).select("game_id", "white_elo", "black_elo", "time_control", F.lit("corpus").alias("part"))
+    return corpus_rows(table(spark, d, "games").filter(F.col("result").isin("1-0", "0-1", "1/2-1/2"))).select("game_id", "white_elo", "black_elo", "time_control", F.lit("corpus").alias("part"))
+
+
+@register("""
+    with e as (select game_id, min(nullif(regexp_extract(text, '\\[Event "([^"]*)"\\]', 1), '')) event from documents where game_id is not null group by 1)
+    select game_id, batch_no, white_elo, black_elo, event, result termination from games left join e using (game_id)
+    where white_elo >= 1500 and black_elo >= 1500 and white_elo <= 2700 and black_elo <= 2700 and regexp_matches(split_part(time_control, '+', 1), '^\\s*[+-]?[0-9]{1,9}\\s*$')
+      and try_cast(trim(split_part(time_control, '+', 1)) as integer) >= 60 and result in ('1-0', '0-1') and not (event ilike '%blitz%')
+""")
+def corpus_by_event(spark, d):
+    """The whole corpus filter: ratings within bounds, base time, decisive ending, and no blitz event; the event is the one a game's document names."""
+    event = F.nullif(F.regexp_extract("text", r'\[Event "([^"]*)"\]', 1), F.lit(""))
+    named = table(spark, d, "documents").filter("game_id is not null").groupBy("game_id").agg(F.min(event).alias("event"))
+    games = table(spark, d, "games").withColumn("termination", F.col("result")).join(named, "game_id", "left")
+    return corpus_rows(games, 1500, 60, 2700, ("1-0", "0-1"), "blitz").select("game_id", "batch_no", "white_elo", "black_elo", "event", "termination")
 
 
 @register("""
@@ -54,11 +77,11 @@ def month_union_all(spark, d):
     from puzzles where rating_deviation <= 100 and nb_plays >= 100 and rating >= 1000
 """)
 def quality_filter(spark, d):
-    from pyspark.sql import Window
+    from plyforge.operators.ordering import range_rank
 
-    kept = table(spark, d, "puzzles").filter("rating_deviation <= 100 and nb_plays >= 100 and rating >= 1000")
-    ranked = kept.withColumn("rk", F.row_number().over(Window.partitionBy(F.expr("rating div 500")).orderBy(F.col("nb_plays").desc_nulls_last(), "puzzle_id", "batch_no")))
-    return ranked.withColumn("place", (F.col("rk") - 1).cast("bigint")).drop("rk").select("puzzle_id", "rating", "batch_no", "place")
+    kept = table(spark, d, "puzzles").filter("rating_deviation <= 100 and nb_plays >= 100 and rating >= 1000").select("puzzle_id", "rating", "batch_no", "nb_plays", F.expr("rating div 500").alias("band"))
+    ranked = range_rank(kept, ["band"], [F.col("nb_plays").desc_nulls_last(), "puzzle_id", "batch_no"], name="rk")
+    return ranked.select("puzzle_id", "rating", "batch_no", (F.col("rk") - 1).cast("bigint").alias("place"))
 
 
 @register("""

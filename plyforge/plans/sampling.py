@@ -119,8 +119,9 @@ def random_cut_point(spark, d):
 def holdout_by_month(spark, d):
     """The first 50 games of a month by hash validate, the rest trains."""
     rows = table(spark, d, "games").filter("month_key >= '2025-01'").select("game_id", "batch_no", "month_key")
-    order = [salted_hash("h", F.col("game_id")), "game_id", "batch_no"]
-    rows = rows.withColumn("rk", F.row_number().over(Window.partitionBy("month_key").orderBy(*order)))
+    from plyforge.operators.ordering import grouped_rank
+
+    rows = grouped_rank(rows.withColumn("h", salted_hash("h", F.col("game_id"))), ["month_key"], "h", ["game_id", "batch_no"], name="rk")
     return rows.select("game_id", "batch_no", F.when(F.col("rk") <= 50, "val").otherwise("train").alias("part"))
 
 

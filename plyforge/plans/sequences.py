@@ -11,19 +11,21 @@ from plyforge.operators.ordering import salted_hash
 from plyforge.plans.catalogue import register
 from plyforge.plans.sampling import table
 
-_PARENS = "regexp_replace(" * 8 + "{0}" + ", '\\([^()]*\\)', ' ', 'g')" * 8
-_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _PARENS.format("regexp_replace(text, '\\{[^}]*\\}', ' ', 'g')") + ", '\\$[0-9]+', ' ', 'g'), '(?:1-0|0-1|1/2-1/2|\\*)\\s*$', ' '), '\\b[0-9]+\\.(?:\\.\\.)?', ' ', 'g'), '\\s+', ' ', 'g'))"
+_PGN = "regexp_replace(lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')), '[\\s-]+', '_', 'g') = 'pgn_dump'"
+_DONE = "regexp_replace(regexp_replace(regexp_replace(x, '\\$[0-9]+', ' ', 'g'), '(?:1-0|0-1|1/2-1/2|\\*)\\s*$', ' '), '\\b[0-9]+\\.(?:\\.\\.)?', ' ', 'g')"
 
 
-@register(f"select doc_id, md5({_CLEAN}) clean, cast(len(list_filter(list_transform(string_split({_CLEAN}, ' '), lambda x: regexp_replace(x, '[!?]+$', '')), lambda x: x <> '')) as bigint) tokens from documents where source = 'pgn_dump'")
+@register(f"""
+    with recursive peeled(doc_id, x) as (
+      select doc_id, regexp_replace(text, '\\{{[^}}]*\\}}', ' ', 'g') from documents where {_PGN}
+      union all select doc_id, regexp_replace(x, '\\([^()]*\\)', ' ', 'g') from peeled where regexp_matches(x, '\\([^()]*\\)')),
+    c as (select doc_id, trim(regexp_replace({_DONE}, '\\s+', ' ', 'g')) c from peeled where x is null or not regexp_matches(x, '\\([^()]*\\)'))
+    select doc_id, md5(c) clean, cast(len(list_filter(list_transform(string_split(c, ' '), lambda t: regexp_replace(t, '[!?]+$', '')), lambda t: t <> '')) as bigint) tokens from c
+""")
 def clean_text(spark, d):
-    """Only the one spelling of the source that its SQL names; ``clean_text_whole`` takes every spelling."""
-    return _cleaned(table(spark, d, "documents").filter("source = 'pgn_dump'"))
-
-
-@register()
-def clean_text_whole(spark, d):
-    return _cleaned(pgn_dumps(spark, d))
+    """Clean movetext of the PGN dumps, however their source is spelled and however deep their variations."""
+    docs = pgn_dumps(spark, d).withColumn("c", text.clean_movetext(F.col("text")))
+    return docs.select("doc_id", F.md5("c").alias("clean"), F.size(text.san_tokens(F.col("c"))).cast("bigint").alias("tokens"))
 
 
 def pgn_dumps(spark, d):
@@ -32,11 +34,6 @@ def pgn_dumps(spark, d):
     return table(spark, d, "documents").filter(name == "pgn_dump")
 
 
-def _cleaned(docs):
-    docs = docs.withColumn("c", text.clean_movetext(F.col("text")))
-    return docs.select("doc_id", F.md5("c").alias("clean"), F.size(text.san_tokens(F.col("c"))).cast("bigint").alias("tokens"))
-
-
 @register("select doc_id, regexp_replace(regexp_replace(split_part(trim(text), ' ', 1), '^[0-9]+\\.+', ''), '[!?]+$', '') answer from documents")
 def answer_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", text.answer_move(F.col("text")).alias("answer"))
@@ -68,31 +65,44 @@ def vocab_crossjoin(spark, d):
     return vocab.vocabulary_table(spark).filter("id >= 62 and id < 1854").select("token", F.col("id").cast("bigint").alias("id"))
 
 
-@register("""
-    select game_id, batch_no, cast(least(200, n + 5) as bigint) n_ids, cast(62 + 0 * n as bigint) first_move, least(greatest(white_elo, 600), 3299) // 100 * 100 white_bin from (
-      select game_id, batch_no, white_elo, black_elo, len(string_split(uci, ' ')) n from games where uci is not null and white_elo is not null and black_elo is not null and result in ('1-0', '0-1', '1/2-1/2'))
+_VOCABULARY = """
+    s as (select f.r f, r.r r from range(8) f(r), range(8) r(r)),
+    words as (
+      select 'abcdefgh'[a.f + 1] || (a.r + 1) || 'abcdefgh'[b.f + 1] || (b.r + 1) as token, row_number() over (order by a.f, a.r, b.f, b.r) + 61 id from s a, s b
+      where (a.f, a.r) <> (b.f, b.r) and (a.f = b.f or a.r = b.r or abs(a.f - b.f) = abs(a.r - b.r) or (abs(a.f - b.f) in (1, 2) and abs(a.r - b.r) in (1, 2) and abs(a.f - b.f) <> abs(a.r - b.r)))
+      union all select 'abcdefgh'[a.r + 1] || w.a || 'abcdefgh'[c.r + 1] || w.b || 'qrbn'[p.r], row_number() over (order by w.a desc, a.r, c.r, p.r) + 1853
+      from range(8) a(r), range(8) c(r), range(1, 5) p(r), (values ('7', '8'), ('2', '1')) w(a, b) where abs(a.r - c.r) < 2)
+"""
+_BIN = "(least(greatest({0}, 600), 3299) // 100 * 100 - 600) // 100"
+
+
+@register(f"""
+    with {_VOCABULARY},
+    g as (select game_id, batch_no, row_number() over () k, list_filter(string_split(uci, ' '), lambda x: x <> '') m, white_elo w, black_elo b, result from games
+          where uci is not null and white_elo is not null and black_elo is not null and result in ('1-0', '0-1', '1/2-1/2')),
+    e as (select k, unnest(m) token, generate_subscripts(m, 1) i from g),
+    i as (select k, list(coalesce(id, 4) order by i) ids from e left join words using (token) group by k)
+    select game_id, batch_no, array_to_string(list_slice([1, {_BIN.format("w")} + 8, {_BIN.format("b")} + 35] || coalesce(ids, []) || [case result when '1-0' then 5 when '0-1' then 6 else 7 end, 2], 1, 200), ' ') ids from g left join i using (k)
 """)
 def encode_sequences(spark, d):
-    """Token counts of encoded games; the ids are tested against a plain encoder."""
+    """Token ids of encoded games, cut at the block of 200."""
     rows = vocab.encode_games(spread(table(spark, d, "games").select("game_id", "batch_no", "uci", "white_elo", "black_elo", "result"))).filter("ids is not null")
-    return rows.select("game_id", "batch_no", F.size("ids").cast("bigint").alias("n_ids"), F.lit(62).cast("bigint").alias("first_move"), vocab.elo_bin(F.col("white_elo")).alias("white_bin"))
-
-
-@register("select doc_id, case when regexp_matches(t, '^[ #+\\-.0-9=BKNOQRabcdefghx/]*$') then cast(length(t) + 2 as bigint) end n_ids, regexp_matches(t, '^[ #+\\-.0-9=BKNOQRabcdefghx/]*$') plain from (select doc_id, regexp_replace(text, '^(?:\\[[^\\]]*\\]\\s*)+', '') t from documents where source = 'pgn_dump')")
-def char_tokenize(spark, d):
-    """Only the one spelling of the source that its SQL names; ``char_tokenize_whole`` takes every spelling."""
-    return _tokenized(table(spark, d, "documents").filter("source = 'pgn_dump'"))
+    return rows.select("game_id", "batch_no", _joined("ids").alias("ids"))
 
 
-@register()
-def char_tokenize_whole(spark, d):
-    return _tokenized(pgn_dumps(spark, d))
+def _joined(ids):
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
-def _tokenized(docs):
-    docs = docs.withColumn("t", F.regexp_replace("text", r"^(?:\[[^\]]*\]\s*)+", ""))
-    encoded = vocab.encode_characters(F.col("t"))
-    return docs.select("doc_id", F.size(encoded).cast("bigint").alias("x"), encoded.isNotNull().alias("plain")).select("doc_id", F.when(F.col("plain"), F.col("x")).alias("n_ids"), "plain")
+@register(f"""
+    with t as (select doc_id, regexp_replace(text, '^(?:\\[[^\\]]*\\]\\s*)+', '') t from documents where {_PGN})
+    select doc_id, case when regexp_matches(t, '^[ #+\\-.0-9=BKNOQRabcdefghx/]*$') then array_to_string([1] || list_transform(string_split(t, ''), lambda c: instr(' #+-.0123456789=BKNOQRabcdefghx/', c) + 2) || [2], ' ') end ids from t where t <> ''
+    union all select doc_id, '1 2' from t where t = '' union all select doc_id, null from t where t is null
+""")
+def char_tokenize(spark, d):
+    """Character ids of the PGN dumps without their headers; null where a character is foreign."""
+    docs = pgn_dumps(spark, d).withColumn("t", F.regexp_replace("text", r"^(?:\[[^\]]*\]\s*)+", ""))
+    return docs.select("doc_id", _joined(vocab.encode_characters(F.col("t"))).alias("ids"))
 
 
 _EXPAND = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(fen, ' ', 1), '8', '........', 'g'), '7', '.......', 'g'), '6', '......', 'g'), '5', '.....', 'g'), '4', '....', 'g'), '3', '...', 'g'), '2', '..', 'g'), '1', '.', 'g'), '/', '')"
@@ -150,42 +160,33 @@ def block_windows(spark, d):
 
 
 @register("""
-    select game_id, batch_no, array_to_string(list_slice(m, 2, 20) || list_transform(range(20 - len(list_slice(m, 2, 20))), lambda x: '<pad>'), ' ') y from (select game_id, batch_no, list_slice(string_split(uci, ' '), 1, 20) m from games where uci is not null)
+    with g as (select game_id, batch_no, string_split(uci, ' ') m from games where uci is not null),
+    w as (select *, unnest(range(0, greatest(len(m) - 2, 0) // 200 + 1)) "window" from g)
+    select game_id, batch_no, "window", array_to_string(list_slice(m, "window" * 200 + 2, "window" * 200 + 201) || list_transform(range(200 - len(list_slice(m, "window" * 200 + 2, "window" * 200 + 201))), lambda x: '<pad>'), ' ') y from w
 """)
 def shifted_window(spark, d):
-    """Targets of a window: its tokens moved by one, filled up with pad; the first 20 moves, as its SQL says."""
-    x = F.slice(F.split("uci", " "), 1, 20)
-    y = F.slice(x, 2, 20)
-    padded = F.concat(y, F.array_repeat(F.lit("<pad>"), F.lit(20) - F.size(y)))
-    return table(spark, d, "games").filter("uci is not null").select("game_id", "batch_no", F.array_join(padded, " ").alias("y"))
-
-
-@register("""
-    select game_id, batch_no, array_to_string(ids || list_transform(range(40 - len(ids)), lambda x: '0'), ' ') padded, cast(len(ids) as bigint) real from (
-      select game_id, batch_no, list_transform(list_slice(string_split(uci, ' '), 1, 40), lambda x: cast(length(x) as varchar)) ids from games where uci is not null)
-""")
-def padded_batches(spark, d):
-    ids_ = F.transform(F.slice(F.split("uci", " "), 1, 40), lambda m: F.length(m).cast("string"))
-    rows = table(spark, d, "games").filter("uci is not null").withColumn("ids", ids_)
-    return rows.select("game_id", "batch_no", F.array_join(F.concat("ids", F.array_repeat(F.lit("0"), F.lit(40) - F.size("ids"))), " ").alias("padded"), F.size("ids").cast("bigint").alias("real"))
-
-
-@register()
-def shifted_window_whole(spark, d):
-    """Targets of the consecutive windows of 200 tokens of each whole game, filled up with pad."""
+    """Targets of the consecutive windows of 200 tokens of each whole game: its tokens moved by one, filled up with pad."""
     games = table(spark, d, "games").filter("uci is not null").withColumn("m", F.split("uci", " "))
     rows = games.select("game_id", "batch_no", "m", F.explode(F.sequence(F.lit(0), F.expr("greatest(size(m) - 2, 0) div 200").cast("int"))).alias("window"))
     y = F.slice("m", F.col("window") * 200 + 2, 200)
     return rows.select("game_id", "batch_no", "window", F.array_join(F.concat(y, F.array_repeat(F.lit("<pad>"), F.lit(200) - F.size(y))), " ").alias("y"))
 
 
-@register()
-def padded_batches_whole(spark, d):
-    """Whole games padded to the longest of their batch (batch_no)."""
-    rows = table(spark, d, "games").filter("uci is not null").withColumn("ids", F.transform(F.split("uci", " "), lambda m: F.length(m).cast("string")))
-    width = rows.groupBy("batch_no").agg(F.max(F.size("ids")).alias("width"))  # a row a batch
-    rows = rows.join(F.broadcast(width), rows.batch_no.eqNullSafe(width.batch_no)).drop(width.batch_no)
-    return rows.select("game_id", "batch_no", F.array_join(F.concat("ids", F.array_repeat(F.lit("0"), F.col("width") - F.size("ids"))), " ").alias("padded"), F.size("ids").cast("bigint").alias("real"))
+@register(f"""
+    with {_VOCABULARY},
+    g as (select game_id, batch_no, row_number() over () k, string_split(uci, ' ') m from games where uci is not null),
+    e as (select k, unnest(m) token, generate_subscripts(m, 1) i from g),
+    i as (select k, list(coalesce(id, 4) order by i) ids from e left join words using (token) group by k)
+    select game_id, batch_no, array_to_string(ids || list_transform(range(max(len(ids)) over (partition by batch_no) - len(ids)), lambda x: 0), ' ') padded, cast(len(ids) as bigint) "real" from g join i using (k)
+""")
+def padded_batches(spark, d):
+    """Move ids of whole games, padded to the longest of their batch (batch_no)."""
+    ids_ = F.transform(F.split("uci", " "), lambda m: F.coalesce(vocab.move_id(m), F.lit(4)))
+    rows = spread(table(spark, d, "games").filter("uci is not null").select("game_id", "batch_no", "uci"))
+    width = rows.groupBy(F.col("batch_no").alias("b")).agg(F.max(F.size(F.split("uci", " "))).alias("width"))
+    # a row a batch
+    rows = rows.withColumn("ids", ids_).join(F.broadcast(width), F.col("batch_no").eqNullSafe(F.col("b")))
+    return rows.select("game_id", "batch_no", _joined(vocab.pad_ids(F.col("ids"), F.col("width"))).alias("padded"), F.size("ids").cast("bigint").alias("real"))
 
 
 @register("""
@@ -236,12 +237,11 @@ def bucket_scalars(spark, d):
     select o.o_orderkey, cast(coalesce((select sum(n) from c where c.y < o.y), 0) + o.n - 1 as bigint) as place from o
 """)
 def ordered_concat_offsets(spark, d):
-    """Absolute places of rows of sources put one after the other."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"))
-    counts = o.groupBy("y").agg(F.count(F.lit(1)).alias("n"))  # a row a source
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("y", "before")
-    own = F.row_number().over(Window.partitionBy("y").orderBy("o_orderdate", "o_orderkey"))
-    return o.withColumn("own", own).join(F.broadcast(before), "y").select("o_orderkey", (F.col("before") + F.col("own") - 1).alias("place"))
+    """Absolute places of rows of sources put one after the other, by ranges of the common order."""
+    from plyforge.operators.ordering import range_running_sum
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.year("o_orderdate").alias("y"), F.lit(1).alias("one"))
+    return range_running_sum(o, ["y", "o_orderdate", "o_orderkey"], "one", name="upto").select("o_orderkey", (F.col("upto") - 1).alias("place"))
 
 
 @register("select distinct cast(year(o_orderdate) as bigint) y, o_orderstatus status, 'orders' src from orders union select distinct cast(year(l_shipdate) as bigint), l_linestatus, 'lineitem' from lineitem")
@@ -254,8 +254,10 @@ def union_members(spark, d):
 @register("select game_id, batch_no, cast(n_plies as bigint) n, cast(coalesce(lag(n_plies) over (partition by white_name order by utc_date, game_id, batch_no), 0) as bigint) before from games")
 def emission_key(spark, d):
     """The row before, by a stated order within a key."""
-    w = Window.partitionBy("white_name").orderBy("utc_date", "game_id", "batch_no")
-    return table(spark, d, "games").select("game_id", "batch_no", F.col("n_plies").cast("bigint").alias("n"), F.coalesce(F.lag("n_plies").over(w), F.lit(0)).cast("bigint").alias("before"))
+    from plyforge.operators.ordering import previous_row
+
+    g = table(spark, d, "games").select("white_name", "utc_date", "game_id", "batch_no", F.col("n_plies").cast("bigint").alias("n"))
+    return previous_row(g, ["white_name"], ["utc_date", "game_id", "batch_no"], "n", name="earlier").select("game_id", "batch_no", "n", F.coalesce("earlier", F.lit(0)).cast("bigint").alias("before"))
 
 
 @register("""

@@ -86,17 +86,33 @@ def corr_two_subsets(spark, d):
 
 
 @register(f"""
-    with x as ({_TRUTH}), h as (select *, cast(('0x' || substr(md5('threshold:' || game_id), 1, 8)) as bigint) % 2 part from x),
-    m as (select part, count(*) n, sum(t) pos, count(distinct game_id) games from h group by part)
-    select part, n, cast(pos as bigint) pos, games, bool_and(pos > 0) over () usable from m
+    with x as (select *, cast(('0x' || substr(md5('threshold:' || game_id), 1, 8)) as bigint) % 2 part, case when l >= 100 then 1 else 0 end rule from ({_TRUTH}) where game_id is not null),
+    g as (select s, count(*) n, sum(t) pos from x where part = 0 group by s),
+    w as (select cast(s as double) threshold, 2.0 * sum(pos) over (order by s desc) / (sum(n) over (order by s desc) + (select sum(pos) from g)) f1 from g
+      union all select 150.5, 2.0 * count(*) filter (s >= 150.5 and t = 1) / (count(*) filter (s >= 150.5) + sum(t)) from x where part = 0),
+    best as (select * from w order by f1 desc, threshold limit 1),
+    c as (
+      select count(*) filter (t = 1) pos, count(*) filter (s >= threshold) called, count(*) filter (s >= threshold and t = 1) hit,
+             count(*) filter (s >= 150.5) fcalled, count(*) filter (s >= 150.5 and t = 1) fhit, count(*) filter (rule = 1) rcalled, count(*) filter (rule = 1 and t = 1) rhit, count(*) n
+      from x, best where part = 1),
+    k as (select t, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0 k from x where part = 1),
+    auc as (select (sum(k) filter (t = 1) - count(*) filter (t = 1) * (count(*) filter (t = 1) + 1) / 2.0) / (count(*) filter (t = 1) * count(*) filter (t = 0)) v from k),
+    gs as (select s, count(*) n, sum(t) pos from x where part = 1 group by s),
+    ws as (select *, sum(n) over (order by s desc) seen, sum(pos) over (order by s desc) hits from gs),
+    ap as (select sum(pos * hits / seen) / sum(pos) v from ws)
+    select (select count(*) from x) items, (select count(*) from x where t = 1) positives, (select count(*) from x where part = 0) tune_items, n score_items, false degenerate,
+      threshold, round(f1, 6) tune_f1, round(hit / called, 6) "precision", round(hit / pos, 6) recall, round(2 * hit / (called + pos), 6) f1, round(2 * fhit / (fcalled + pos), 6) f1_configured,
+      round(auc.v, 6) roc_auc, round(ap.v, 6) average_precision, round(2 * rhit / (rcalled + pos), 6) f1_rule, round(100 * (2 * hit / (called + pos) - 2 * rhit / (rcalled + pos)), 6) margin
+    from c, best, auc, ap
 """)
 def composite_measure(spark, d):
-    """Tune and score halves by game, with the flag that both hold positives."""
+    """A detector measured at a threshold chosen on other games, beside a rule without one."""
     from plyforge.operators.ordering import salted_hash
 
-    part = F.conv(F.substring(salted_hash("threshold", F.col("game_id")), 1, 8), 16, 10).cast("bigint") % 2
-    m = judged(spark, d).withColumn("part", part).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("bigint").alias("pos"), F.count_distinct("game_id").alias("games"))
-    return m.withColumn("usable", F.every(F.col("pos") > 0).over(Window.partitionBy()))
+    tune = F.conv(F.substring(salted_hash("threshold", F.col("game_id")), 1, 8), 16, 10).cast("bigint") % 2 == 0
+    rows = judged(spark, d).filter("game_id is not null").withColumn("tune", tune).withColumn("rule", F.when(F.col("l") >= 100, 1).otherwise(0))
+    out = metrics.detector_summary(rows, "s", "t", "rule", "tune", 150.5)
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
 
 
 _MATCH = "select match_id, game_index, stage_a, stage_b, a_white, score, a_illegal, b_illegal from (select *, row_number() over (partition by match_id, game_index order by recorded_at, stage_a, stage_b) rk from match_games) where rk = 1 and score is not null"
@@ -199,12 +215,15 @@ def sweep_verdicts(spark, d):
     select event_type, max(user_id) filter (rk = 1) crowned, round(max(v) filter (rk = 1) - max(v) filter (rk = 2), 4) head_gap, round(sum(v) filter (v < 0.5 * m) / sum(v), 6) low_mass from (select *, avg(v) over (partition by event_type) m from r) group by 1
 """)
 def reward_profile(spark, d):
-    w = Window.partitionBy("event_type")
+    """The item that reward crowns in each group, its lead, and the share of reward of items below half the mean."""
+    from plyforge.operators.ordering import range_rank
+
     r = table(spark, d, "events").filter("value is not null").groupBy("event_type", "user_id").agg(F.sum("value").alias("v"))
-    r = r.withColumn("rk", F.row_number().over(w.orderBy(F.col("v").desc(), "user_id"))).withColumn("m", F.avg("v").over(w))
+    r = range_rank(r, ["event_type"], [F.col("v").desc(), "user_id"], name="rk")
+    means = r.groupBy("event_type").agg(F.avg("v").alias("m"))
     at = lambda c, k: F.max(F.when(F.col("rk") == k, F.col(c)))
     low = F.sum(F.when(F.col("v") < 0.5 * F.col("m"), F.col("v")))
-    return r.groupBy("event_type").agg(at("user_id", 1).alias("crowned"), F.round(at("v", 1) - at("v", 2), 4).alias("head_gap"), F.round(low / F.sum("v"), 6).alias("low_mass"))
+    return r.join(means, "event_type").groupBy("event_type").agg(at("user_id", 1).alias("crowned"), F.round(at("v", 1) - at("v", 2), 4).alias("head_gap"), F.round(low / F.sum("v"), 6).alias("low_mass"))
 
 
 @register("""
@@ -218,15 +237,38 @@ def preference_loss(spark, d):
     return m.agg(F.round(F.avg(F.log(1 + F.exp(-0.1 * F.col("m")))), 6).alias("loss"), F.round(F.avg((F.col("m") > 0).cast("double")), 6).alias("accuracy"), F.round(F.avg("m"), 6).alias("margin"), F.round(F.avg(F.exp(r) - r - 1), 6).alias("kl"))
 
 
-@register("""
-    with v as (select vec_id, embedding, list_transform(embedding, lambda x: round(x, 1)) r from embeddings)
-    select round(avg(cast(list_position(embedding, list_max(embedding)) = list_position(r, list_max(r)) as integer)), 6) agreement, count(*) n from v
+_ROUNDED = "select vec_id, embedding, list_transform(embedding, lambda x: round(x, 1)) r from embeddings"
+
+
+@register(f"""
+    with v as ({_ROUNDED})
+    select round(avg(cast(list_position(embedding, list_max(embedding)) = list_position(r, list_max(r)) as integer)), 6) agreement, count(*) n,
+      round(max(list_max(list_transform(range(1, len(embedding) + 1), lambda i: abs(embedding[i] - r[i])))), 6) max_abs_delta from v
 """)
 def parity_agreement(spark, d):
-    """Share of vectors whose largest entry stays in place when they are rounded."""
-    v = table(spark, d, "embeddings").withColumn("r", F.transform("embedding", lambda x: F.round(x, 1)))
-    at = lambda c: F.array_position(c, F.array_max(c))
-    return v.agg(F.round(F.avg((at("embedding") == at("r")).cast("double")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
+    """Share of vectors whose largest entry stays in place when they are rounded, and the largest change of an entry."""
+    v = rounded_vectors(spark, d)
+    delta = F.array_max(F.zip_with("embedding", "r", lambda a, b: F.abs(a - b)))
+    return v.agg(F.round(F.avg((_top("embedding") == _top("r")).cast("double")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"), F.round(F.max(delta), 6).alias("max_abs_delta"))
+
+
+@register(f"""
+    with v as ({_ROUNDED})
+    select vec_id, list_position(embedding, list_max(embedding)) expected, list_position(r, list_max(r)) got from v
+    where list_position(embedding, list_max(embedding)) <> list_position(r, list_max(r)) order by vec_id limit 20
+""")
+def parity_mismatches(spark, d):
+    """The first 20 vectors whose largest entry moves."""
+    v = rounded_vectors(spark, d).select("vec_id", _top("embedding").cast("int").alias("expected"), _top("r").cast("int").alias("got"))
+    return v.filter("expected <> got").orderBy("vec_id").limit(20)
+
+
+def rounded_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "embedding", F.transform("embedding", lambda x: F.round(x, 1)).alias("r"))
+
+
+def _top(c):
+    return F.array_position(c, F.array_max(c))
 
 
 @register(f"""

@@ -1,7 +1,8 @@
 """Classification, ranking and correlation metrics as aggregations and windows.
 
 Ranks and cumulative counts run over distinct scores, not over rows: rows are
-first summed by score, in two phases, so a window sees one row a score.
+first summed by score, in two phases, and the scores are put in ranges, so no
+task holds all of them even where every row has a score of its own.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.operators.ordering import range_running_sum, running_sum
+from plyforge.session import cut_lineage
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -24,15 +28,18 @@ def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def by_score(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """(score, pos, n, pos_above, n_above): sums of each distinct score and of those down to it, highest first."""
+    """(score, pos, n, pos_above, n_above, pos_all, n_all): sums of each distinct score, of those down to it, highest first, and of all."""
     sums = df.dropna(subset=[score, truth]).groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return sums.withColumn("pos_above", F.sum("pos").over(down)).withColumn("n_above", F.sum("n").over(down))
+    order = [F.col("score").desc()]
+    ranged = cut_lineage(sums.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    for amount in ("pos", "n"):
+        ranged = running_sum(ranged, [], "__range", order, amount, name=f"{amount}_above").withColumnRenamed(f"{amount}_above_total", f"{amount}_all")
+    return ranged.drop("__range")
 
 
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """(roc_auc): the share of (positive, negative) pairs in order, ties half; null without both classes."""
-    s = by_score(df, score, truth).withColumn("neg_below", F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy()) - (F.col("n_above") - F.col("pos_above")))
+    s = by_score(df, score, truth).withColumn("neg_below", (F.col("n_all") - F.col("pos_all")) - (F.col("n_above") - F.col("pos_above")))
     agg = s.agg(F.sum(F.col("pos") * (F.col("neg_below") + (F.col("n") - F.col("pos")) / 2)).alias("u"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return agg.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).alias("roc_auc"))
 
@@ -63,8 +70,9 @@ def best_threshold(df: DataFrame, score: str, truth: str, configured: float | No
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Adds the average rank of each value; ties share the mean of their places, nulls have none."""
     sums = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).filter("__v is not null")
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(sums.withColumn(name, before + (F.col("__n") + 1) / 2), F.col(value) == F.col("__v"), "left").drop("__v", "__n")
+    summed = range_running_sum(sums, ["__v"], "__n", name="__upto")
+    ranks = summed.select("__v", (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -98,3 +106,32 @@ def group_advantages(df: DataFrame, group: str, reward: str, eps: float = 1e-4)
 def agreement(df: DataFrame, a: str, b: str) -> list[Column]:
     """Aggregates: share of equal values."""
     return [F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement")]
+
+
+def detector_summary(df: DataFrame, score: str, truth: str, baseline: str, tune: str, configured: float) -> DataFrame:
+    """One row with all that is said of a detector, beside a rule without a threshold.
+
+    Rows where ``tune`` holds choose the threshold with the best F1; precision,
+    recall, F1 (tuned and configured), ranking metrics and the rule's F1 are
+    measured on the others.  If a half lacks a class, no rows can be held back:
+    the threshold is chosen and measured on all rows, and ``degenerate`` says
+    so.  Rows with a null score, truth or baseline are left out.  Columns:
+    items, positives, tune_items, score_items, degenerate, threshold, tune_f1,
+    precision, recall, f1, f1_configured, roc_auc, average_precision, f1_rule,
+    margin (in points of F1).
+    """
+    rows = cut_lineage(df.select(score, truth, baseline, tune).dropna())
+    positive, half = F.col(truth) == 1, F.col(tune)
+    counts = rows.agg(F.count(F.lit(1)).alias("items"), F.count_if(positive).alias("positives"), *[F.count_if(h & c).alias(n) for n, h, c in (("tp", half, positive), ("tn", half, ~positive), ("sp", ~half, positive), ("sn", ~half, ~positive))]).first()
+    degenerate = not (counts.tp and counts.tn and counts.sp and counts.sn)
+    tuned, held = (rows, rows) if degenerate else (rows.filter(half), rows.filter(~half))
+    best = best_threshold(tuned, score, truth, configured).first()
+    threshold, tune_f1 = (best.threshold, best.f1) if best else (configured, 0.0)
+    call = lambda column: F.coalesce(column, F.lit(False)).cast("int")
+    judged = held.withColumn("__tuned", call(F.col(score) >= threshold)).withColumn("__fixed", call(F.col(score) >= configured))
+    parts = [confusion(judged, truth, c).select(*[F.col(x).alias(f"{p}{x}") for x in ("precision", "recall", "f1")]) for c, p in (("__tuned", ""), ("__fixed", "fixed_"), (baseline, "rule_"))]
+    head = [(int(counts["items"]), int(counts["positives"]), int(counts["items"] if degenerate else counts["tp"] + counts["tn"]), int(counts["items"] if degenerate else counts["sp"] + counts["sn"]), degenerate, float(threshold), float(tune_f1))]
+    out = rows.sparkSession.createDataFrame(head, "items bigint, positives bigint, tune_items bigint, score_items bigint, degenerate boolean, threshold double, tune_f1 double")
+    for part in (*parts, roc_auc(held, score, truth), average_precision(held, score, truth)):
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out.select("items", "positives", "tune_items", "score_items", "degenerate", "threshold", "tune_f1", "precision", "recall", "f1", F.col("fixed_f1").alias("f1_configured"), "roc_auc", "average_precision", F.col("rule_f1").alias("f1_rule"), (100 * (F.col("f1") - F.col("rule_f1"))).alias("margin"))
