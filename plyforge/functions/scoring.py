@@ -87,3 +87,13 @@ def verdict(cp: Column, margin: Column | int) -> Column:
     """Adjudication of a cut game from White's centipawns."""
     margin = margin if isinstance(margin, Column) else F.lit(margin)
     return F.when(cp >= margin, "1-0").when(cp <= -margin, "0-1").when(cp.isNotNull(), "1/2-1/2")
+
+
+#: First and last edge and width of the rating bands.
+BAND_LOW, BAND_TOP, BAND_WIDTH = 1800, 2600, 200
+
+
+def rating_band(elo: Column) -> Column:
+    """``<1800``, ``1800-2000`` and so on, ``2600+``; null for null."""
+    low = F.floor(elo / BAND_WIDTH).cast("int") * BAND_WIDTH
+    return F.when(elo < BAND_LOW, f"<{BAND_LOW}").when(elo >= BAND_TOP, f"{BAND_TOP}+").when(elo.isNotNull(), F.concat_ws("-", low, low + BAND_WIDTH))

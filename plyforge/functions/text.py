@@ -89,10 +89,27 @@ def percent(value: Column, digits: int = 1) -> Column:
     return F.when(value.isNull(), "n/a").otherwise(F.concat(F.format_string(f"%.{digits}f", F.round(value * 100, digits)), F.lit(" %")))
 
 
-def index_spec(spec: Column) -> Column:
-    """``0,2,5-7`` as a sorted array of distinct numbers."""
-    ranges = F.transform(
-        F.split(F.regexp_replace(spec, r"\s+", ""), ","),
-        lambda r: F.sequence(F.split_part(r, F.lit("-"), F.lit(1)).cast("int"), F.split_part(r, F.lit("-"), F.lit(-1)).cast("int")),
-    )
-    return F.array_sort(F.array_distinct(F.flatten(ranges)))
+def unit_cell(value: Column, unit: Column) -> Column:
+    """``12.3 %`` of a share, whole Elo points, or ``1.2345 bits``, by the unit's name; null is ``n/a``."""
+    elo, bits = F.format_string("%.0f", F.round(value, 0)), F.format_string("%.4f bits", F.round(value, 4))
+    return F.when(value.isNull(), "n/a").when(unit == "percent", percent(value)).when(unit == "elo", elo).otherwise(bits)
+
+
+def name_prefixes(name: Column) -> Column:
+    """The shorter names of ``a-b-c``: ``a-b`` and ``a``."""
+    parts = F.split(name, "-")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))
+
+
+def index_spec(spec: Column, n_files: int | None = None) -> Column:
+    """``0,2,5-7`` as a sorted array of distinct numbers; empty parts count for nothing.
+
+    With ``n_files`` a number outside of 0 .. n_files - 1 is an error.
+    """
+    parts = F.filter(F.split(F.regexp_replace(spec, r"\s+", ""), ","), lambda r: r != "")
+    ranges = F.transform(parts, lambda r: F.sequence(F.split_part(r, F.lit("-"), F.lit(1)).cast("int"), F.split_part(r, F.lit("-"), F.lit(-1)).cast("int")))
+    found = F.array_sort(F.array_distinct(F.flatten(ranges)))
+    if n_files is None:
+        return found
+    outside = F.exists(found, lambda i: (i < 0) | (i >= n_files))
+    return F.when(outside, F.raise_error(F.concat(F.lit(f"file numbers go from 0 to {n_files - 1}: "), spec)).cast("array<int>")).otherwise(found)

@@ -82,10 +82,95 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def merge_parts(spark: SparkSession, parts: str, target: str, files: int = 1) -> int:
+    """Writes the rows of all part files under ``parts`` as ``files`` files under ``target``, then drops the parts; returns the rows.
+
+    Parts are united by column name.  They are dropped only once the target is
+    committed; a part folder without rows is an error and stays.
+    """
+    rows = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(parts)
+    n = require_rows(rows, parts).count()
+    write_table(rows, target, files)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return n
+
+
+def newest_run(spark: SparkSession, path: str) -> str:
+    """``path`` if it exists, else the same within the newest stamped run of that name (``name-YYYYMMDD-HHMMSS``), else ``path``.
+
+    The stamp sorts as text; folders' own times do not count.
+    """
+    if list_files(spark, path):
+        return path
+    folder, _, leaf = path.rpartition("/")
+    base, rest = (folder, f"/{leaf}") if "." in leaf else (path, "")
+    stamp = re.compile(re.escape(base.rpartition("/")[2]) + r"-\d{8}-\d{6}$")
+    runs = [p for p in list_files(spark, base + "-*") if stamp.search(p)]
+    return runs[-1] + rest if runs else path
+
+
 def file_hashes(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """(path, bytes, sha256) of files, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of files, hashed where they are listed, a megabyte at a time, so a file may have any size."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for df in batches:
+            sums = []
+            for name in df["path"]:
+                system, inner = fs.FileSystem.from_uri(name if "://" in name else re.sub("^file:/+", "file:///", name))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while chunk := stream.read(1 << 20):
+                        digest.update(chunk)
+                sums.append(digest.hexdigest())
+            yield pd.DataFrame({"path": df["path"], "bytes": df["length"], "sha256": sums})
+
+    return listed.mapInPandas(run, "path string, bytes bigint, sha256 string")
+
+
+def write_vectors(df: DataFrame, key: str, vector: str, folder: str, dtype: str = "float32") -> dict:
+    """Writes ``vectors-NNNNN.npy`` and a table ``rows`` (shard, row, key) that says whose vector each row is.
+
+    Every task writes a shard of its own rows into ``folder``, which all
+    executors share; rows with a null vector are left out.  A shard is written
+    under another name and then renamed, so a repeated task leaves whole shards.
+    Returns {shards, rows, width}; vectors of different widths are an error.
+    """
+    import os
+
+    kept = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    low, high, n = kept.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.count(F.lit(1))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} numbers")
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        keys, parts = [], []
+        for b in batches:
+            keys.append(b["key"])
+            parts += list(b["vector"])
+        if parts:
+            name = f"{folder}/vectors-{task.partitionId():05d}.npy"
+            half = f"{name}.{task.taskAttemptId()}"
+            with open(half, "wb") as out:
+                np.save(out, np.array(parts, dtype=dtype))
+            os.replace(half, name)
+            yield pd.DataFrame({"shard": task.partitionId(), "row": range(len(parts)), "key": pd.concat(keys)})
+
+    kind = dict(kept.dtypes)["key"]
+    kept.mapInPandas(run, f"shard int, row bigint, key {kind}").write.mode("overwrite").parquet(f"{folder}/rows")
+    return {"shards": df.sparkSession.read.parquet(f"{folder}/rows").select("shard").distinct().count(), "rows": n, "width": high or 0}
 
 
 def write_token_stream(packed: DataFrame, folder: str, dtype: str = "uint16") -> dict:

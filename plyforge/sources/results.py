@@ -54,6 +54,42 @@ def cache_settings(family: str, settings: dict) -> dict:
     return {k: settings.get(k) for k in CACHE_FIELDS[family]}
 
 
+def require_same(measured: DataFrame, shipped: DataFrame, key: str, *fingerprints: str) -> DataFrame:
+    """``measured`` joined to what is shipped under the same key, failing where none of the fingerprints agree.
+
+    A key that is not shipped is an error as well; a null fingerprint agrees with nothing.
+    """
+    there = shipped.select(key, *[F.col(f).alias(f"shipped_{f}") for f in fingerprints]).withColumn("__there", F.lit(True))
+    same = F.lit(False)
+    for f in fingerprints:
+        same = same | F.coalesce(F.col(f) == F.col(f"shipped_{f}"), F.lit(False))
+    fails = F.raise_error(F.concat(F.lit("measured on something else than is shipped: "), F.col(key).cast("string"))).cast("boolean")
+    joined = measured.join(there, key, "left").withColumn("verified", F.when(F.coalesce("__there", F.lit(False)) & same, True).otherwise(fails))
+    return joined.drop("__there")
+
+
+def share_settings(steps: dict[str, dict], shared: dict) -> dict[str, dict]:
+    """The settings of each step with the shared ones put in where the step has none of its own, at any depth."""
+
+    def under(own: dict, common: dict) -> dict:
+        out = dict(own)
+        for k, v in common.items():
+            out[k] = under(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else out.get(k, v)
+        return out
+
+    return {name: under(own, shared) for name, own in steps.items()}
+
+
+def dry_run(steps: dict[str, Callable[[], DataFrame]]) -> dict[str, str]:
+    """The physical plan of each step's table, without running any: a step builds its table and writes nothing."""
+    out = {}
+    for name, step in steps.items():
+        df = step()
+        mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        out[name] = df._jdf.queryExecution().explainString(mode)
+    return out
+
+
 def run_catalogue(steps: dict[str, Callable[[], object]], only: Sequence[str] | None = None) -> list[dict]:
     """Runs steps by name; a failure is recorded and the rest still run."""
     import time

@@ -164,10 +164,69 @@ def test_whole_texts_and_sequences(spark, tmp_path):
     games = [(1, 1, " ".join(["e2e4"] * 450)), (2, 1, "e2e4 a7a8q"), (3, 1, None), (4, 2, "e2e4")]
     spark.createDataFrame(games, "game_id bigint, batch_no int, uci string").write.parquet(f"{tmp_path}/games.parquet")
     d = str(tmp_path)
-    assert {r.doc_id: r.tokens for r in sequences.clean_text_whole(spark, d).collect()} == {1: 2, 2: 1, 4: 1}
-    assert {r.doc_id for r in sequences.char_tokenize_whole(spark, d).collect()} == {1, 2, 4}
-    got = {r.game_id: (r.padded.split(" "), r.real) for r in sequences.padded_batches_whole(spark, d).collect()}
-    assert {k: (len(v), n) for k, (v, n) in got.items()} == {1: (450, 450), 2: (450, 2), 4: (1, 1)} and got[2][0][:3] == ["4", "5", "0"]
-    windows = {(r.game_id, r.window): r.y.split(" ") for r in sequences.shifted_window_whole(spark, d).collect()}
+    assert {r.doc_id: r.tokens for r in sequences.clean_text(spark, d).collect()} == {1: 2, 2: 1, 4: 1}
+    assert {r.doc_id for r in sequences.char_tokenize(spark, d).collect()} == {1, 2, 4}
+    got = {r.game_id: (r.padded.split(" "), r.real) for r in sequences.padded_batches(spark, d).collect()}
+    assert {k: (len(v), n) for k, (v, n) in got.items()} == {1: (450, 450), 2: (450, 2), 4: (1, 1)} and got[2][0][2:4] == ["0", "0"] and int(got[2][0][1]) >= 1854
+    windows = {(r.game_id, r.window): r.y.split(" ") for r in sequences.shifted_window(spark, d).collect()}
     assert sorted(windows) == [(1, 0), (1, 1), (1, 2), (2, 0), (4, 0)] and all(len(y) == 200 for y in windows.values())
     assert sum(t != "<pad>" for k, y in windows.items() for t in y if k[0] == 1) == 449 and windows[2, 0][:2] == ["a7a8q", "<pad>"]
+
+
+def test_the_corpus_filter_keeps_one_of_six(spark):
+    from plyforge.plans.filters import corpus_rows
+
+    rows = [
+        (1, 2000, 2100, "300+3", "Normal", "Rated Blitz"), (2, 1700, 2100, "300+3", "Normal", "Rated Blitz"), (3, 2000, 2100, "-", "Normal", "Rated"), (4, 2000, 2100, "300", "Abandoned", "Rated"),
+        (5, 2000, 2100, "300", "Normal", "Rated VARIANT cup"), (6, 2000, 2100, "300", "Normal", None), (7, None, 2100, "300", "Normal", "Rated"), (8, 2000, 2100, None, None, "Rated"),
+    ]
+    games = spark.createDataFrame(rows, "id int, white_elo int, black_elo int, time_control string, termination string, event string")
+    keep = lambda **more: sorted(r.id for r in corpus_rows(games, **more).collect())
+    assert keep(terminations=("Normal", "Time forfeit"), without_event="variant") == [1]
+    assert keep() == [1, 4, 5, 6] and keep(max_elo=2050) == []
+
+
+def test_rating_bands_and_cells(spark):
+    from plyforge.functions import scoring
+
+    rows = spark.createDataFrame([(x,) for x in (None, 0, 1799, 1800, 1999, 2000, 2599, 2600, 3400)], "e int").select(scoring.rating_band(F.col("e")).alias("b")).collect()
+    assert [r.b for r in rows] == [None, "<1800", "<1800", "1800-2000", "1800-2000", "2000-2200", "2400-2600", "2600+", "2600+"]
+    cell = lambda v, unit: one(spark, text.unit_cell(F.lit(v).cast("double"), F.lit(unit)))
+    assert [cell(0.1234, "percent"), cell(-12.4, "elo"), cell(1.5, "bits"), cell(None, "elo")] == ["12.3 %", "-12", "1.5000 bits", "n/a"]
+    assert one(spark, text.name_prefixes(F.lit("a-b-c"))) == ["a", "a-b"] and one(spark, text.name_prefixes(F.lit("a"))) == ["a"]
+
+
+def test_file_numbers_are_checked_against_the_files(spark):
+    assert one(spark, text.index_spec(F.lit(" 5-7, 0,,6"), 8)) == [0, 5, 6, 7]
+    with pytest.raises(Exception, match="file numbers go from 0 to 6"):
+        one(spark, text.index_spec(F.lit("5-7"), 7))
+
+
+def test_ranks_and_previous_rows_by_ranges(spark):
+    import random
+
+    from plyforge.operators.ordering import previous_row, range_rank
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 2, 3])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, g string, v int")
+    for group in sorted({r[1] for r in rows}, key=str):
+        mine = sorted((r for r in rows if r[1] == group), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        got = range_rank(df, ["g"], ["v", "id"], name="k").filter(F.col("g").eqNullSafe(group)).orderBy("k").collect()
+        assert [r.id for r in got] == [r[0] for r in mine] and [r.k for r in got] == list(range(1, len(mine) + 1))
+        got = {r.id: r.before for r in previous_row(df, ["g"], ["v", "id"], "v", name="before").filter(F.col("g").eqNullSafe(group)).collect()}
+        assert got == {r[0]: (mine[i - 1][2] if i else None) for i, r in enumerate(mine)}
+    assert range_rank(df.limit(0), ["g"], ["v"]).count() == previous_row(df.limit(0), ["g"], ["v"], "id").count() == 0
+
+
+def test_a_detector_without_two_full_halves_is_measured_on_all_rows(spark):
+    from plyforge.stats import metrics
+
+    rows = [(i, float(i % 7), int(i % 3 == 0), int(i % 2), i < 20) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, s double, t int, rule int, tune boolean")
+    whole = metrics.detector_summary(df, "s", "t", "rule", "tune", 3.0).first()
+    assert not whole.degenerate and (whole.tune_items, whole.score_items, whole["items"]) == (20, 20, 40)
+    torn = metrics.detector_summary(df.filter("not tune or t = 0"), "s", "t", "rule", "tune", 3.0).first()
+    assert torn.degenerate and torn.tune_items == torn.score_items == torn["items"]
+    none = metrics.detector_summary(df.limit(0), "s", "t", "rule", "tune", 3.0).first()
+    assert none.degenerate and none["items"] == 0 and none.roc_auc is None and none.f1 == 0

@@ -160,3 +160,81 @@ def test_event_windows_as_a_stream_equal_the_batch(spark, small, tmp_path):
 def test_text_lines(spark, tmp_path):
     files.write_text_lines(spark.createDataFrame([("a\nb", 1)], "game string, n int"), "game", str(tmp_path / "j"))
     assert [r.text for r in spark.read.json(str(tmp_path / "j")).collect()] == ["a\nb"]
+
+
+def test_large_texts_are_cut_by_record(spark, tmp_path):
+    game = '[Event "e{0}"]\n[Site "s{0}"]\n[%odd line]\n\n1. e4 {{ [%clk 1] }} e5 *\n\n'
+    (tmp_path / "many.pgn").write_text("".join(game.format(i) for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = pgn.read_pgn(spark, str(tmp_path))
+        rows = df.orderBy("game_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.Event for r in rows] == [f"e{i}" for i in range(3000)] and [r.game_no for r in rows] == list(range(3000))
+    assert {r.movetext for r in rows} == {"1. e4 { [%clk 1] } e5 *"}
+
+
+def test_an_illegal_game_fails_a_strict_read(spark):
+    df = spark.createDataFrame([(1, "kept"), (2, "illegal")], "id int, reason string")
+    assert pgn.strict(df.filter("id = 1")).count() == 1
+    with pytest.raises(Exception, match="illegal game"):
+        pgn.strict(df).collect()
+
+
+def test_vectors_and_their_rows(spark, tmp_path):
+    import numpy as np
+
+    df = spark.createDataFrame([(f"k{i}", [float(i), i / 2]) for i in range(50)] + [("none", None)], "k string, v array<double>").repartition(4)
+    meta = files.write_vectors(df, "k", "v", str(tmp_path / "out"))
+    assert meta["rows"] == 50 and meta["width"] == 2
+    shards = {}
+    for r in spark.read.parquet(str(tmp_path / "out/rows")).collect():
+        if r.shard not in shards:
+            shards[r.shard] = np.load(tmp_path / f"out/vectors-{r.shard:05d}.npy")
+        assert shards[r.shard][r.row].tolist() == [float(r.key[1:]), float(r.key[1:]) / 2]
+    with pytest.raises(ValueError):
+        files.write_vectors(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "k string, v array<double>"), "k", "v", str(tmp_path / "bad"))
+
+
+def test_shards_are_filtered_resumed_and_merged(spark, tmp_path):
+    shards = []
+    for i in range(4):
+        shards.append(str(tmp_path / f"s{i}"))
+        spark.range(i * 100, i * 100 + 100).write.parquet(shards[-1])
+    seen = []
+
+    def keep(df):
+        seen.append(1)
+        if len(seen) == 3:
+            raise RuntimeError("broken off")
+        return df.filter("id % 10 = 0")
+
+    target = str(tmp_path / "out")
+    with pytest.raises(RuntimeError):
+        ingest.ingest_shards(spark, shards, target, keep, drop_shards=True)
+    assert ingest.ingest_shards(spark, shards, target, keep) == 40 and len(seen) == 5  # two parts were there
+    assert spark.read.parquet(target).count() == 40 and not (tmp_path / "out.parts").exists() and not (tmp_path / "s0").exists()
+    assert ingest.ingest_shards(spark, shards[2:], str(tmp_path / "few"), lambda df: df, limit=30) == 30
+    with pytest.raises(ValueError):
+        ingest.ingest_shards(spark, shards[2:], str(tmp_path / "none"), lambda df: df.filter("id < 0"))
+
+
+def test_newest_run_by_name(spark, tmp_path):
+    for name in ("m-20250101-000000", "m-20250301-000000", "m-big-20260101-000000", "n"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "best.pt").write_text("x")
+    at = lambda p: files.newest_run(spark, f"{tmp_path}/{p}").rpartition(str(tmp_path))[2]
+    assert at("m/best.pt") == "/m-20250301-000000/best.pt" and at("m") == "/m-20250301-000000" and at("n") == "/n" and at("q/best.pt") == "/q/best.pt"
+
+
+def test_provenance_settings_and_dry_runs(spark):
+    shipped = spark.createDataFrame([("a", "1", "x"), ("b", "2", None)], "k string, file string, weights string")
+    measured = lambda *rows: spark.createDataFrame(list(rows), "k string, file string, weights string")
+    assert results.require_same(measured(("a", "0", "x"), ("b", "2", None)), shipped, "k", "file", "weights").filter("verified").count() == 2
+    for bad in (("b", "0", None), ("c", "1", "x")):
+        with pytest.raises(Exception, match="something else than is shipped"):
+            results.require_same(measured(bad), shipped, "k", "file", "weights").collect()
+    steps = results.share_settings({"one": {"engine": {"threads": 2}}, "two": {}}, {"engine": {"threads": 8, "memory": "4g"}})
+    assert steps == {"one": {"engine": {"threads": 2, "memory": "4g"}}, "two": {"engine": {"threads": 8, "memory": "4g"}}}
+    assert "Range" in results.dry_run({"r": lambda: spark.range(5)})["r"]
