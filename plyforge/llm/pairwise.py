@@ -190,20 +190,23 @@ def readable_games(match_games: DataFrame, keys: Sequence[str] = ("match_id", "g
     deliveries of a game the latest readable one counts; rows without a key are
     games of their own.
     """
-    result = F.regexp_replace(F.regexp_replace(F.lower(F.trim("result")), "[–—]", "-"), r"\s*([-:/])\s*", "$1")
-    white = F.lit(None).cast("double")
+    read = F.regexp_replace(F.regexp_replace(F.lower(F.trim("result")), "[–—]", "-"), r"\s*([-:/])\s*", "$1")
+    # the columns of a step are computed once and used by name in the next
+    rows = match_games.select(*keys, stage_name(F.col("stage_a")).alias("item_a"), stage_name(F.col("stage_b")).alias("item_b"), "a_white", F.when(F.col("score").isin(0.0, 0.5, 1.0), F.col("score")).alias("stated"), read.alias("read"), F.col("recorded_at").alias("at"))
+    result, white = F.col("read"), F.lit(None).cast("double")
     for value in (1.0, 0.5, 0.0):
         white = F.when(result.isin([k for k, v in WHITE_SCORE.items() if v == value]), F.lit(value)).otherwise(white)
-    by_result = F.when(F.col("a_white"), white).when(~F.col("a_white"), 1 - white)
-    stated = F.when(F.col("score").isin(0.0, 0.5, 1.0), F.col("score"))
+    rows = rows.withColumn("white", white)
     # a draw is the same seen from either side
-    by_result = F.coalesce(by_result, F.when(white == 0.5, F.lit(0.5)))
-    score = F.when(result.isin(*UNFINISHED), None).when(by_result.isNotNull() & stated.isNotNull() & (by_result != stated), None).otherwise(F.coalesce(by_result, stated))
-    rows = match_games.select(
-        *keys, stage_name(F.col("stage_a")).alias("item_a"), stage_name(F.col("stage_b")).alias("item_b"), score.alias("score"), F.col("recorded_at").alias("at")
-    ).filter(F.col("score").isNotNull())
+    by_result = F.when(F.col("white") == 0.5, 0.5).when(F.col("a_white"), F.col("white")).when(~F.col("a_white"), 1 - F.col("white"))
+    rows = rows.withColumn("by_result", by_result)
+    differ = F.col("by_result").isNotNull() & F.col("stated").isNotNull() & (F.col("by_result") != F.col("stated"))
+    score = F.when(result.isin(*UNFINISHED), None).when(differ, None).otherwise(F.coalesce("by_result", "stated"))
+    rows = rows.select(*keys, "item_a", "item_b", score.alias("score"), "at")
     named = F.lit(True)
     for k in keys:
         named = named & F.col(k).isNotNull()
-    one = rows.filter(named).groupBy(*keys).agg(F.max(F.struct(F.coalesce(F.col("at").cast("string"), F.lit("")).alias("at"), "item_a", "item_b", "score")).alias("x")).select("x.item_a", "x.item_b", "x.score")
-    return one.unionByName(rows.filter(~named).select("item_a", "item_b", "score"))
+    # rows without an outcome are left out by the aggregate: a filter here would be pushed down and compute the score once more
+    readable = F.when(F.col("score").isNotNull(), F.struct(F.coalesce(F.col("at").cast("string"), F.lit("")).alias("at"), "item_a", "item_b", "score"))
+    one = rows.filter(named).groupBy(*keys).agg(F.max(readable).alias("x")).filter("x is not null").select("x.item_a", "x.item_b", "x.score")
+    return one.unionByName(rows.filter(~named).select("item_a", "item_b", "score").filter(F.col("score").isNotNull()))
