@@ -9,6 +9,7 @@ from plyforge.functions import scoring, text
 from plyforge.operators.ordering import salted_hash
 from plyforge.plans.catalogue import register
 from plyforge.plans.sampling import table
+from plyforge.stats.metrics import discordant_pairs
 
 
 @register("select e.line_id, e.depth from engine_lines e where exists (select 1 from label_rows l where l.fen = e.fen)")
@@ -152,9 +153,7 @@ def unordered_pairs(spark, d):
 def inversions(spark, d):
     """Pairs of nations that two measures order differently."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("s_acctbal").alias("bal"), F.count(F.lit(1)).alias("n"))
-    a, b = s.alias("a"), s.alias("b")
-    found = a.join(b, (F.col("a.n_name") < F.col("b.n_name")) & ((F.col("a.bal") - F.col("b.bal")) * (F.col("a.n") - F.col("b.n")) < 0))
-    return found.agg(F.count(F.lit(1)).alias("inversions"))
+    return discordant_pairs(s, "bal", "n").withColumnRenamed("pairs", "inversions")
 
 
 @register("""
@@ -210,10 +209,14 @@ def pairwise_rank_loss(spark, d):
     """
     rows = table(spark, d, "label_rows").select("game_id", "label_id", scoring.white_score(F.col("cp"), F.col("mate")).alias("t"), F.col("ply").cast("double").alias("p")).filter("t is not null")
     lists = rows.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct("label_id", "t", "p"))).alias("xs"))
-    pairs = lists.select("game_id", F.posexplode("xs").alias("i", "a"), "xs").select("game_id", "a", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("b")).filter("a.t <> b.t")
-    w = F.abs(F.col("a.t") - F.col("b.t")).cast("double")
-    x = F.when(F.col("a.t") > F.col("b.t"), 1).otherwise(-1) * (F.col("a.p") - F.col("b.p")) / 100.0
-    return pairs.groupBy("game_id").agg(F.round(F.sum(w * F.log(1 + F.exp(-x))) / F.sum(w), 6).alias("loss"))
+    weight = lambda a, b: F.abs(a["t"] - b["t"]).cast("double")
+    margin = lambda a, b: F.when(a["t"] > b["t"], 1).otherwise(-1) * (a["p"] - b["p"]) / 100.0
+    none = F.struct(F.lit(0.0).alias("loss"), F.lit(0.0).alias("weight"))
+    add = lambda x, loss, weight: F.struct((x["loss"] + loss).alias("loss"), (x["weight"] + weight).alias("weight"))
+    later = lambda a, i: F.aggregate(F.slice("xs", i + 2, F.size("xs")), none, lambda x, b: add(x, weight(a, b) * F.log(1 + F.exp(-margin(a, b))), weight(a, b)))
+    # no pair becomes a row: a game is folded where its list is; equal targets weigh nothing
+    summed = lists.select("game_id", F.aggregate(F.transform("xs", later), none, lambda x, y: add(x, y["loss"], y["weight"])).alias("x")).filter("x.weight > 0")
+    return summed.select("game_id", F.round(F.col("x.loss") / F.col("x.weight"), 6).alias("loss"))
 
 
 def hash_rank(df: DataFrame, by: list[str], salt: str, key: str) -> DataFrame:

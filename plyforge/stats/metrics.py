@@ -87,6 +87,24 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(pearson(F.col("ra"), F.col("rb")).alias("spearman"))
 
 
+def discordant_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(pairs): the pairs of rows that ``a`` and ``b`` order differently; ties in either and nulls do not count.
+
+    Two rows differ first in one bit of their dense ranks by ``b``.  So for each
+    bit the rows are grouped by the bits above it and taken by ``a``; a row with
+    bit 0 is discordant with the rows before it that have bit 1.  A row becomes
+    one row a bit of the largest rank, not one row a partner.
+    """
+    rows = cut_lineage(df.select(a, b).dropna())
+    ranks = range_running_sum(rows.select(F.col(b).alias("__v")).distinct().withColumn("__one", F.lit(1)), ["__v"], "__one", name="__rank").select("__v", "__rank")
+    placed = rows.join(ranks, F.col(b) == F.col("__v")).select(F.col(a).alias("__a"), "__rank")
+    top = ranks.agg(F.coalesce(F.max("__rank"), F.lit(0))).first()[0]
+    bits = placed.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.lit(max(int(top).bit_length() - 1, 0)))))
+    bits = bits.withColumn("__above", F.expr("shiftright(__rank, __bit + 1)")).withColumn("__set", F.expr("shiftright(__rank, __bit) & 1"))
+    seen = range_running_sum(bits, ["__a", "__rank"], "__set", group=["__bit", "__above"], name="__ones")
+    return seen.filter("__set = 0").agg(F.coalesce(F.sum("__ones"), F.lit(0)).alias("pairs"))
+
+
 def entropy_bits(df: DataFrame, key: str) -> DataFrame:
     """(entropy): Shannon entropy of the counts of a key, never -0."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -230,3 +230,17 @@ def test_a_detector_without_two_full_halves_is_measured_on_all_rows(spark):
     assert torn.degenerate and torn.tune_items == torn.score_items == torn["items"]
     none = metrics.detector_summary(df.limit(0), "s", "t", "rule", "tune", 3.0).first()
     assert none.degenerate and none["items"] == 0 and none.roc_auc is None and none.f1 == 0
+
+
+def test_discordant_pairs_equal_a_count_of_all_pairs(spark):
+    import random
+
+    from plyforge.stats import metrics
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *range(9)]), "x") for _ in range(150)]
+    kept = [r for r in rows if None not in r]
+    want = sum((x[0] - y[0]) * (x[1] - y[1]) < 0 for i, x in enumerate(kept) for y in kept[:i])
+    df = spark.createDataFrame(rows, "a int, b int, pairs string")
+    assert metrics.discordant_pairs(df, "a", "b").first().pairs == want
+    assert metrics.discordant_pairs(df.limit(0), "a", "b").first().pairs == 0
