@@ -106,17 +106,18 @@ def pack_items(items: DataFrame, item: str, size: str, capacity: int, *, salt: s
         .unionByName(large.filter(rest > 0).select("item", full.cast("int").alias("piece"), rest.alias("size")))
     )
     histogram = {r["size"]: r.n for r in loose.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    slots, start, seen = [], 0, {}
+    slots, start, seen = {}, 0, {}
     for repeat, used in pack_histogram(histogram, capacity):
         for s, n in used.items():
             first = seen.get(s, 0)
-            slots.append((s, first, first + repeat * n, start, n))
+            slots.setdefault(s, []).append((first, first + repeat * n, start, n))
             seen[s] = first + repeat * n
         start += repeat
-    # a few slots a size, sizes up to the capacity: small at any number of items
-    slots = spark.createDataFrame(slots, "size bigint, first bigint, past bigint, start bigint, each int")
+    # a row a size with its few slots, so at most capacity rows; an item picks its slot and is never multiplied
+    slots = spark.createDataFrame(list(slots.items()), "size bigint, slots array<struct<first: bigint, past: bigint, start: bigint, each: int>>")
     placed = grouped_rank(loose.withColumn("h", salted_hash(salt, F.col("item"), F.col("piece"))), ["size"], "h", ["item"], name="r").withColumn("r", F.col("r") - 1)
-    packed = placed.join(F.broadcast(slots), "size").filter("r >= first and r < past").select(F.expr("start + (r - first) div each").alias("bin"), "item", "piece", F.col("size").alias("tokens"))
+    mine = F.get(F.filter("slots", lambda x: (x["first"] <= F.col("r")) & (F.col("r") < x["past"])), F.lit(0))
+    packed = placed.join(F.broadcast(slots), "size").withColumn("slot", mine).select(F.expr("slot.start + (r - slot.first) div slot.each").alias("bin"), "item", "piece", F.col("size").alias("tokens"))
     # the full bins of large items are numbered after the others
     ranked = grouped_rank(large.withColumn("one", F.lit(1)), ["one"], "h", ["item"], name="r")
     own = ranked.select(F.col("r").alias("owner"), "item", "h", F.explode(F.sequence(F.lit(0), full.cast("int") - 1)).alias("piece"), full.alias("pieces"))

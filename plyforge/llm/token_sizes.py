@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
-import functools
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,26 +24,38 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=2)
-def load_encoding(path: str):
-    """The tokenizer, once a Python worker."""
-    import tiktoken
+#: Tokenizers of this Python worker, by path.
+_LOADED: dict = {}
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def load_encoding(path: str, content: Callable[[], bytes] | None = None):
+    """The tokenizer of a vocabulary file, once a Python worker; ``content`` gives the file's bytes where it is not at hand."""
+    if path not in _LOADED:
+        import tiktoken
+
+        if content is None:
+            with open(path, "rb") as file:
+                lines = file.read().splitlines()
+        else:
+            lines = content().splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
+        _LOADED[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[path]
 
 
 def token_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     """Tokens of the whole text; null and empty texts have none.
 
-    The strings of special tokens are ordinary text.
+    The strings of special tokens are ordinary text.  The vocabulary is read on
+    the driver and broadcast (a megabyte or two), so executors need no such file.
     """
     path = vocabulary_path(vocabulary)
+    with open(path, "rb") as file:
+        content = SparkSession.getActiveSession().sparkContext.broadcast(file.read())
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
-        encode = load_encoding(path).encode_ordinary
+        encode = load_encoding(path, lambda: content.value).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
     return count(text)
