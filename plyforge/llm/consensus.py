@@ -244,8 +244,13 @@ def consensus(variants: DataFrame, *, block: int = 64) -> DataFrame:
     return alone.unionByName(merged.select("group_id", "part").mapInPandas(_votes, "group_id binary, consensus string"))
 
 
-#: Up to so many open groups (about 2 MB) are joined by broadcast, more by shuffle.
-FEW_GROUPS = 20_000
+#: Up to so many groups (at most about 10 MB of keys) are joined by broadcast, more by shuffle.
+FEW_GROUPS = 100_000
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, few: int) -> DataFrame:
+    """The rows of ``groups`` (group_id), of which there are ``few`` or more than ``FEW_GROUPS``."""
+    return rows.join(F.broadcast(groups) if few <= FEW_GROUPS else groups, "group_id", "left_semi")
 
 
 def ballot(depth: Column) -> Column:
@@ -288,7 +293,7 @@ def best_lines(lines: DataFrame, *, block: int = 64) -> DataFrame:
 
 def _with_consensus(rows: DataFrame, block: int) -> DataFrame:
     kept = F.max(F.when(F.col("trust").isNotNull(), F.struct("trust", "line_id", "depth", "knodes", "cp", "mate", "fetched_at"))).alias("top")
-    by_line = cut_lineage(rows.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("votes").alias("votes"), kept))
+    by_line = rows.groupBy("group_id", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("votes").alias("votes"), kept)
     said = F.when(F.col("line").isNotNull(), F.col("votes"))
     best = F.max(F.when(F.col("line").isNotNull(), F.struct("votes", "line")))
     heads = by_line.groupBy("group_id").agg(F.sum("n").alias("n_rows"), F.max("top").alias("top"), F.sum(said).alias("cast"), best.alias("best")).filter("top is not null")
@@ -301,9 +306,9 @@ def _with_consensus(rows: DataFrame, block: int) -> DataFrame:
     few = open_groups.limit(FEW_GROUPS + 1).count()
     if not few:
         return plain
-    wanted = open_groups.select("group_id")
-    ballots = by_line.filter("line is not null").join(F.broadcast(wanted) if few <= FEW_GROUPS else wanted, "group_id", "left_semi")
-    ballots = cut_lineage(ballots.select("group_id", F.col("line").alias("tokens"), F.col("votes").cast("double").alias("weight")))
+    # the rows are read once more rather than all written: open groups are a small part of most tables
+    said = _of_groups(rows.filter("line is not null"), open_groups.select("group_id"), few)
+    ballots = cut_lineage(said.groupBy("group_id", F.col("line").alias("tokens")).agg(F.sum("votes").cast("double").alias("weight")))
     voted = cut_lineage(consensus(ballots, block=block))
     near = ballots.join(F.broadcast(voted) if few <= FEW_GROUPS else voted, "group_id").withColumn("far", _distance("tokens", "consensus"))
     closest = near.groupBy("group_id").agg(F.min(F.struct("far", (-F.col("weight")).alias("w"), "tokens")).getField("tokens").alias("line"), F.first("consensus").alias("consensus_line"))
@@ -319,14 +324,17 @@ def built_lines(lines: DataFrame, *, block: int = 64) -> DataFrame:
     names the fields that were filled, in the order knodes, fetched_at; a field
     that no row of the group knows stays missing.
     """
-    rows = cut_lineage(_keyed(lines))
+    rows = _keyed(lines)
+    best = cut_lineage(_with_consensus(rows, block))
+    silent = best.filter("knodes is null or fetched_at is null").select("group_id")
     zero = F.lit("1970-01-01").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", zero, F.col("fetched_at"))
     choices = F.array(F.struct(F.lit(True).alias("nodes"), F.col("knodes").cast("bigint").alias("token")), F.struct(F.lit(False).alias("nodes"), micros.alias("token")))
-    counted = rows.select("group_id", "votes", F.explode(choices).alias("x")).filter("x.token is not null").groupBy("group_id", "x.nodes", "x.token").agg(F.sum("votes").alias("votes"))
+    ballots = _of_groups(rows, silent, silent.limit(FEW_GROUPS + 1).count())
+    counted = ballots.select("group_id", "votes", F.explode(choices).alias("x")).filter("x.token is not null").groupBy("group_id", "x.nodes", "x.token").agg(F.sum("votes").alias("votes"))
     most = lambda of: F.max(F.when(of, F.struct("votes", "token"))).getField("token")
     won = counted.groupBy("group_id").agg(most(F.col("nodes")).alias("won_nodes"), most(~F.col("nodes")).alias("won_time"))
-    best = _with_consensus(rows, block).join(won, "group_id", "left")
+    best = best.join(won, "group_id", "left")
     missing = lambda field, token: F.col(field).isNull() & F.col(token).isNotNull()
     filled = F.array_compact(F.array(F.when(missing("knodes", "won_nodes"), F.lit("knodes")), F.when(missing("fetched_at", "won_time"), F.lit("fetched_at"))))
     return best.select(
