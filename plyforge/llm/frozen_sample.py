@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.operators.ordering import bottom_k, salted_hash
+from plyforge.operators.ordering import bottom_k, hash_digits, salted_hash
 from plyforge.session import cut_lineage
 
 
@@ -45,6 +45,37 @@ def frozen_sample(df: DataFrame, key: str | Sequence[str], batch: str, rate: str
     return bottom_k(arrived, [*by, batch], "sample_hash", k, key).select(*by, *key, batch, "sample_hash")
 
 
+def continued_sample(df: DataFrame, chosen: DataFrame, key: str | Sequence[str], batch: str, mark: str, salt: str = "s1", *, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, *key, batch, mark, sample_hash): the frozen sample of ``df`` that keeps the records chosen before, by whatever tool.
+
+    ``chosen`` has one row (*by, *key, mark) a record, ``mark`` never null; the
+    records of it that are in ``df`` are all in the sample, with their mark.
+    The rate of a batch is the share that they are of it and of the batches of
+    its population before it, as an exact fraction: batches that arrive later
+    change nothing.  In each batch they are the first of ceil(rate * size)
+    records; the others, with a null mark, are those with the smallest md5 of
+    ``salt:key``.  A batch of which more were chosen keeps them all and takes no
+    other.  Otherwise as ``frozen_sample``.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    record = [*by, *key]
+    arrived = first_arrivals(df.select(*record, batch), record, batch).join(chosen.select(*record, mark), record, "left")
+    digits = hash_digits(df) + 1  # the first digit says whether the record was chosen
+    first = F.when(F.col(mark).isNotNull(), "0").otherwise("1")
+    arrived = cut_lineage(arrived.withColumn("__order", F.concat(first, salted_hash(salt, *[F.col(k) for k in key]))))
+    # a row a batch of each population
+    sizes = arrived.groupBy(*by, batch).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("__size"), F.count(mark).cast("decimal(38,0)").alias("__chosen"))
+    so_far = Window.partitionBy(*by).orderBy(F.col(batch).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("__all", F.sum("__size").over(so_far).cast("decimal(38,0)")).withColumn("__taken", F.sum("__chosen").over(so_far).cast("decimal(38,0)"))
+    quota = F.greatest(F.expr("cast(__chosen as bigint)"), F.expr("(__size * __taken + __all - 1) div __all"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, batch]):
+        same = same & F.col(c).eqNullSafe(F.col(f"__c{i}"))
+    quotas = sizes.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate([*by, batch])], quota.alias("__quota"))
+    kept = bottom_k(arrived.join(F.broadcast(quotas), same), [*by, batch], "__order", F.col("__quota"), key, digits=digits)
+    return kept.select(*record, batch, mark, F.substring("__order", 2, 32).alias("sample_hash"))
+
+
 def changed_batches(before: DataFrame, after: DataFrame, key: str, batch: str, rate: str | Decimal, salt: str = "s1") -> DataFrame:
     """(batch, lost, joined): batches that are not immutable, because records arrived under an old batch number.
 
@@ -59,29 +90,50 @@ def changed_batches(before: DataFrame, after: DataFrame, key: str, batch: str, r
     return gone.unionByName(come).groupBy(F.col("b").alias(batch)).agg(F.sum("lost").alias("lost"), F.sum("joined").alias("joined"))
 
 
-def lost_records(draws: DataFrame, live: DataFrame) -> DataFrame:
+def held_draws(draws: DataFrame) -> DataFrame:
+    """(sample_name, item_kind, item_key, held): one row a record that a sample has drawn, with the list of those draws.
+
+    A sample has few draws.  Rows with a null count for nothing, repeated rows once.
+    """
+    record = ["sample_name", "item_kind", "item_key"]
+    return cut_lineage(draws.select(*record, "draw_no").dropna().groupBy(*record).agg(F.collect_set("draw_no").alias("held")))
+
+
+def drawn_again(held: DataFrame, live: DataFrame, batch: str | None = None) -> DataFrame:
+    """(sample_name, item_kind, item_key, batch_no, held, sample_hash): the frozen samples that go on from recorded draws.
+
+    ``held`` is of ``held_draws``.  Each sample draws from the ``live`` records
+    of the kinds that it has drawn, at the share that it has drawn of them so
+    far, and keeps all that it has drawn and that still exist; ``held`` is null
+    for records that fill a batch up.  ``batch`` names the column of ``live`` with
+    the delivery batch; without it all records came in one.
+    """
+    by = ["sample_name", "item_kind"]
+    there = live.select("item_kind", "item_key", (F.col(batch) if batch else F.lit(None).cast("int")).alias("batch_no"))
+    # a row a sample and kind
+    population = there.join(F.broadcast(held.select(*by).distinct()), "item_kind")
+    return continued_sample(population, held, "item_key", "batch_no", "held", by=by)
+
+
+def lost_records(draws: DataFrame, live: DataFrame, batch: str | None = None) -> DataFrame:
     """Breaches of the append-only rule: (sample_name, draw_no, item_kind, item_key).
 
     ``draws`` has sample_name, draw_no, item_kind and item_key in plain form,
-    ``live`` the item_kind and item_key of records that still exist.  The
-    recorded draws are drawn again as a frozen sample: the records that first
-    stood in draw b are its batch b, all of which were chosen (rate 1), and draw
-    d holds the union of the batches up to d.  A row says that a live record of
-    that union was in the recorded draw ``draw_no - 1`` and is not in the
-    recorded ``draw_no``, which was drawn.  A frozen sample has no such rows.
-    Rows with a null count for nothing, repeated rows once.
+    ``live`` the item_kind and item_key of records that still exist, and their
+    delivery batch if ``batch`` names it.  The samples are drawn again as frozen
+    samples of the live records that go on from the recorded draws
+    (``drawn_again``), and the recorded draws are judged by them: a row says
+    that a record of the frozen sample was in the recorded draw ``draw_no - 1``
+    and is not in the recorded ``draw_no``, which was drawn.  A frozen sample
+    has no such rows.  Rows with a null count for nothing, repeated rows once.
     """
-    item = ["item_kind", "item_key"]
-    rows = cut_lineage(draws.select("sample_name", "draw_no", *item).dropna().distinct())
-    frozen = frozen_sample(rows, item, "draw_no", "1", by=["sample_name"]).select("sample_name", *item, F.col("draw_no").alias("batch"))
-    # a record's row lists the draws that it stood in, of which a sample has few
-    held = rows.groupBy("sample_name", *item).agg(F.collect_set("draw_no").alias("held"))
+    held = held_draws(draws)
+    sample = drawn_again(held, live, batch)
     after = F.transform("held", lambda d: (d + 1).cast("int"))
-    absent = F.filter(after, lambda d: (d > F.col("batch")) & ~F.array_contains("held", d))
-    missed = frozen.join(held, ["sample_name", *item]).select("sample_name", *item, F.explode(absent).alias("draw_no"))
-    made = rows.select("sample_name", "draw_no").distinct()
-    gone = missed.join(made, ["sample_name", "draw_no"], "left_semi")
-    return gone.join(live.select(*item).dropna().distinct(), item, "left_semi").select("sample_name", "draw_no", *item)
+    absent = F.filter(after, lambda d: ~F.array_contains("held", d))
+    missed = sample.select("sample_name", "item_kind", "item_key", F.explode(absent).alias("draw_no"))
+    made = held.select("sample_name", F.explode("held").alias("draw_no")).distinct()
+    return missed.join(made, ["sample_name", "draw_no"], "left_semi").select("sample_name", "draw_no", "item_kind", "item_key")
 
 
 def game_key(text: Column) -> Column:
@@ -105,5 +157,5 @@ def plain_draws(draws: DataFrame) -> DataFrame:
 
 
 def live_records(games: DataFrame, puzzles: DataFrame) -> DataFrame:
-    """(item_kind, item_key) of all games and puzzles."""
-    return games.select(F.lit("game").alias("item_kind"), F.col("game_id").cast("string").alias("item_key")).unionByName(puzzles.select(F.lit("puzzle").alias("item_kind"), F.trim("puzzle_id").alias("item_key")))
+    """(item_kind, item_key, batch_no) of all games and puzzles."""
+    return games.select(F.lit("game").alias("item_kind"), F.col("game_id").cast("string").alias("item_key"), "batch_no").unionByName(puzzles.select(F.lit("puzzle").alias("item_kind"), F.trim("puzzle_id").alias("item_key"), "batch_no"))

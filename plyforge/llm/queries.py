@@ -49,7 +49,7 @@ def p1_win_matrix(spark, d):
 def p2_found(spark, d):
     draws = frozen_sample.plain_draws(_table(spark, d, "sample_draws"))
     live = frozen_sample.live_records(_table(spark, d, "games"), _table(spark, d, "puzzles"))
-    return frozen_sample.lost_records(draws, live).select("sample_name", "draw_no", "item_key")
+    return frozen_sample.lost_records(draws, live, "batch_no").select("sample_name", "draw_no", "item_key")
 
 
 def p2_games_sample(spark, d):
